@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 BLOCK_WORDS = 16
-CELL_ROWS = 100_000
+CELL_ROWS = 8_192
 SEED = 7
 
 
@@ -78,16 +78,15 @@ def quotas(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
     source_size, target, passes (times that every word is taken), at (words of the group's
     cell before it) and rest (words of the cell's stream that one more pass takes).
 
-    The driver gets one row for each source and one for each cell of ``CELL_ROWS``
-    documents, never rows of documents.
+    The driver gets one row for each source and one for each cell of about
+    ``CELL_ROWS`` documents, never rows of documents.
     """
     spark = docs.sparkSession
     thin = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *_keys(docs, seed))
     thin = thin.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
     thin = materialize(thin, "mix-sizes")
-    n = thin.count()
-    cells = max(1, -(-n // CELL_ROWS))
-    thin = thin.withColumn("cell", F.pmod(F.col("k2"), F.lit(cells)).cast("int"))
+    cells = thin.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cells"))
+    thin = thin.join(cells, thin["source"].eqNullSafe(cells["s"])).withColumn("cell", F.pmod("k2", "cells").cast("int")).drop("s", "cells")
     sums = thin.groupBy("source", "cell").agg(F.sum(F.col("size") * F.col("copies")).alias("words")).collect()
     by_source: dict = {}
     for r in sums:
