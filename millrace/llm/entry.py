@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, topk
+from . import bpe, mixing, quality, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op3_top_k": topk.op3_top_k,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_token_files": tokenfiles.op6_token_files,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
