@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, tokenfiles, topk, toxicity
+from . import bpe, mixing, neardup, quality, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_top_k": topk.op3_top_k,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_files": tokenfiles.op6_token_files,

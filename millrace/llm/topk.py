@@ -1,11 +1,11 @@
 """Exact top-k inner-product search with a three-phase uniform threshold.
 
 A score is the sum of partial scores over ``parts`` slices of the dimensions; each
-slice is a "node" with its own score list.  Phase 1 gathers every node's k best
-entries and turns them into a lower bound of the k-th best total.  Phase 2 sends the
-cutoff bound / parts to all nodes, which return every entry that reaches it: a vector
-below the cutoff in every slice cannot reach the bound.  Phase 3 bounds the totals of
-what came, drops what cannot win and looks up the missing parts exactly.
+slice is a "node" with its own score list.  Phase 1 gathers the best entries of every
+node's list; the k-th best total among them bounds the k-th best of all from below.
+Phase 2 sends the cutoff bound / parts to all nodes, which return every entry that reaches
+it: a vector below the cutoff in every slice cannot reach the bound.  Phase 3 bounds the
+totals of what came, drops what cannot win and looks up the missing parts exactly.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import materialize, table
 
 TOP = 5
 PARTS = 2
+#: Entries of a node's list that phase 1 gathers, for each wanted result.
+DEPTH = 4
 #: Queries of one pass; the broadcast holds so many vectors at most.
 QUERY_BLOCK = 2048
 #: Vectors of one matrix product inside a task.
@@ -56,6 +58,9 @@ def _cuts(dim: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
+_LISTS = "query_id long, part int, vec_id long, score long"
+
+
 def _blocks(batches, dim):
     for b in batches:
         for lo in range(0, b.num_rows, ROWS):
@@ -65,64 +70,55 @@ def _blocks(batches, dim):
                 yield part.column("vec_id").to_numpy()[at].astype(np.int64), m
 
 
-def _arrow(q, part, vec, score):
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(part, pa.int32()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "part", "vec_id", "score"])
-
-
-_LISTS = "query_id long, part int, vec_id long, score long"
+def _arrow(q, part, vec, score, total=None):
+    cols = [pa.array(q, pa.int64()), pa.array(part, pa.int32()), pa.array(vec, pa.int64()), pa.array(score.astype(np.int64))]
+    names = ["query_id", "part", "vec_id", "score"]
+    if total is not None:
+        cols, names = [*cols, pa.array(total.astype(np.int64))], [*names, "total"]
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
 def _search(vectors: DataFrame, qid: np.ndarray, qm: np.ndarray, top: int, parts: int) -> DataFrame:
-    spark, dim = vectors.sparkSession, qm.shape[1]
+    spark, dim, depth = vectors.sparkSession, qm.shape[1], DEPTH * top
     cuts = _cuts(dim, parts)
     shipped = spark.sparkContext.broadcast((qid, qm))
 
     def local_lists(batches):
-        """Each node's best entries of this task, and its lowest score as vec_id null (-1)."""
+        """The best entries of each node's list in this task, with their totals."""
         ids, m = shipped.value
-        best: dict[int, tuple] = {}
-        low = np.full((parts, len(ids)), np.inf)
+        best: dict[int, list] = {}
         for vid, x in _blocks(batches, dim):
-            own = vid[None, :] == ids[:, None]
+            own, total = vid[None, :] == ids[:, None], m @ x.T
             for p, (a, b) in enumerate(cuts):
                 s = m[:, a:b] @ x[:, a:b].T
-                low[p] = np.minimum(low[p], s.min(1))
                 s[own] = -np.inf
-                v = np.broadcast_to(vid, s.shape)
+                have = [s, np.broadcast_to(vid, s.shape), total]
                 if p in best:
-                    s, v = np.hstack([best[p][0], s]), np.hstack([best[p][1], v])
-                if s.shape[1] > top:
-                    keep = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    s, v = np.take_along_axis(s, keep, 1), np.take_along_axis(v, keep, 1)
-                best[p] = (s, v)
-        for p, (s, v) in best.items():
-            q = np.repeat(ids, s.shape[1])
-            ok = np.isfinite(s.ravel())
-            yield _arrow(q[ok], np.full(ok.sum(), p), v.ravel()[ok], s.ravel()[ok])
-            yield _arrow(ids, np.full(len(ids), p), np.full(len(ids), None), low[p])
-
-    lists = materialize(vectors.mapInArrow(local_lists, _LISTS), "topk-lists")
-    lows = lists.where("vec_id is null").groupBy("query_id", "part").agg(F.min("score").alias("low"))
-    entries = lists.where("vec_id is not null")
+                    have = [np.hstack(pair) for pair in zip(best[p], have, strict=True)]
+                if have[0].shape[1] > depth:
+                    keep = np.argpartition(-have[0], depth - 1, axis=1)[:, :depth]
+                    have = [np.take_along_axis(y, keep, 1) for y in have]
+                best[p] = have
+        for p, have in best.items():
+            s, v, t = (y.ravel() for y in have)
+            ok = np.isfinite(s)
+            yield _arrow(np.repeat(ids, have[0].shape[1])[ok], np.full(ok.sum(), p), v[ok], s[ok], t[ok])
+
+    lists = materialize(vectors.mapInArrow(local_lists, _LISTS + ", total long"), "topk-lists")
     rank = W.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
-    entries = entries.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= top).drop("r")
-
-    def bounded(seen: DataFrame) -> DataFrame:
-        """Lower bound of the k-th best shifted total per query."""
-        shifted = seen.join(lows, ["query_id", "part"]).withColumn("s", F.col("score") - F.col("low"))
-        total = shifted.groupBy("query_id", "vec_id").agg(F.sum("s").alias("s"))
-        best = W.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-        total = total.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top)
-        # With fewer than k seen there is no bound, and every entry must come.
-        return total.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= top, F.min("s")).otherwise(F.lit(-1)).alias("tau"))
-
-    cut = bounded(entries).join(lows, "query_id").select("query_id", "part", (F.col("low") + F.ceil(F.col("tau") / F.lit(float(parts)))).alias("cut"), "low", "tau")
-    # At most parts * QUERY_BLOCK rows.
+    entries = lists.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= depth)
+
+    def kth(totals: DataFrame) -> DataFrame:
+        """(query_id, tau): the k-th best total of each query that has so many."""
+        best = W.partitionBy("query_id").orderBy(F.desc("total"), "vec_id")
+        return totals.withColumn("r", F.row_number().over(best)).where(F.col("r") == top).select("query_id", F.col("total").alias("tau"))
+
+    first = materialize(kth(entries.select("query_id", "vec_id", "total").distinct()), "topk-bounds")
+    # A row for each query of the block at most.  With fewer vectors than k there is no bound, and all entries come.
     at = {int(q): i for i, q in enumerate(qid)}
-    cutoff = np.full((parts, len(qid)), -np.inf)
-    for r in cut.collect():
-        if r["tau"] >= 0:
-            cutoff[r["part"], at[r["query_id"]]] = r["cut"]
+    cutoff = np.full(len(qid), -np.inf)
+    for r in first.collect():
+        cutoff[at[r["query_id"]]] = -(-r["tau"] // parts)
     limits = spark.sparkContext.broadcast(cutoff)
 
     def sufficient(batches):
@@ -130,31 +126,31 @@ def _search(vectors: DataFrame, qid: np.ndarray, qm: np.ndarray, top: int, parts
         for vid, x in _blocks(batches, dim):
             for p, (a, b) in enumerate(cuts):
                 s = m[:, a:b] @ x[:, a:b].T
-                i, j = np.nonzero(s >= limits.value[p][:, None])
+                i, j = np.nonzero(s >= limits.value[:, None])
                 ok = vid[j] != ids[i]
                 i, j = i[ok], j[ok]
                 if len(i):
                     yield _arrow(ids[i], np.full(len(i), p), vid[j], s[i, j])
 
-    found = materialize(vectors.mapInArrow(sufficient, _LISTS), "topk-entries")
-    tau2 = bounded(found)
-    cuts_at = cut.select("query_id", "part", "cut", "low")
-    # Upper bound: what is missing is below its node's cutoff.
-    slack = cuts_at.groupBy("query_id").agg(F.sum(F.greatest(F.col("cut") - F.col("low"), F.lit(0))).alias("slack"))
-    have = found.join(cuts_at, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("low")).alias("s"), F.sum(F.greatest(F.col("cut") - F.col("low"), F.lit(0))).alias("covered"))
-    could = have.join(tau2, "query_id").join(slack, "query_id").where(F.col("s") + F.col("slack") - F.col("covered") >= F.col("tau")).select("query_id", "vec_id")
-    need = could.join(vectors, "vec_id").select("query_id", "vec_id", "v")
+    found = vectors.mapInArrow(sufficient, _LISTS).groupBy("query_id", "vec_id").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("seen"))
+    found = materialize(found, "topk-entries")
+    second = kth(found.where(F.col("seen") == parts)).withColumnRenamed("tau", "tau2")
+    bounds = first.join(second, "query_id", "left").select("query_id", F.greatest("tau", F.coalesce("tau2", "tau")).alias("tau"), F.ceil(F.col("tau") / F.lit(float(parts))).alias("cut"))
+    # A part that did not come is below the cutoff.
+    could = found.join(bounds, "query_id", "left").where(F.col("tau").isNull() | (F.col("total") + (parts - F.col("seen")) * (F.col("cut") - 1) >= F.col("tau")))
+    need = could.where(F.col("seen") < parts).join(vectors, "vec_id").select("query_id", "vec_id", "v")
 
     def resolve(batches):
         ids, m = shipped.value
         row = {int(q): i for i, q in enumerate(ids)}
         for b in batches:
-            x, ok = _matrix(b.column("v"), dim)
-            q = b.column("query_id").to_numpy()[ok]
+            x, ok = _matrix(b.column(2), dim)
+            q = b.column(0).to_numpy()[ok]
             s = np.einsum("ij,ij->i", m[[row[int(k)] for k in q]], x) if len(ok) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(b.column("vec_id").to_numpy()[ok], pa.int64()), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(b.column(1).to_numpy()[ok], pa.int64()), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
 
     scored = need.mapInArrow(resolve, "query_id long, vec_id long, score long")
+    scored = scored.union(could.where(F.col("seen") == parts).select("query_id", "vec_id", F.col("total").alias("score")))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
