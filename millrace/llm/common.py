@@ -64,6 +64,25 @@ def n_words(text) -> F.Column:
     return F.length(marks).cast("long")
 
 
+#: Key lists up to so many rows are broadcast; longer ones are joined by shuffling.
+BROADCAST_ROWS = 400_000
+
+
+def _checked(keys: DataFrame) -> DataFrame:
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(keys) if few else keys
+
+
+def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys``, which are broadcast if they are few."""
+    return df.join(_checked(keys), on, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is not among ``keys``."""
+    return df.join(_checked(keys), on, "left_anti")
+
+
 def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about ``max_bytes`` (one row at least).
 

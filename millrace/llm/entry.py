@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, quality, sharding, tokenfiles, topk, toxicity
+from . import bpe, mixing, neardup, quality, repeats, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_top_k": topk.op3_top_k,
+    "op4_repeats": repeats.op4_repeats,
     "op5_bpe": bpe.op5_bpe,
     "op6_token_files": tokenfiles.op6_token_files,
     "op7_mixing": mixing.op7_mixing,

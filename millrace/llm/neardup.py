@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, per_batch, random64, slices, table, word_hashes
+from .common import materialize, mix64, only, per_batch, random64, slices, table, word_hashes
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**6)**48 < 1e-6.
 BANDS, ROWS = 48, 6
@@ -27,8 +27,6 @@ SAMPLES, SKETCH_BITS = 128, 512
 MARGIN = 0.25
 PERCENT = 80
 ROUNDS = 3
-#: Key lists up to so many rows are broadcast; longer ones are joined by shuffling.
-BROADCAST_ROWS = 200_000
 
 _A32 = (random64(BANDS * ROWS, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = random64(BANDS * ROWS, 37)
@@ -123,12 +121,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is among ``keys`` (distinct); broadcast if they are few."""
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
-
-
 def sifted(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and odd sketches leave the threshold possible."""
     left = sigs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
