@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, quality, repeats, sharding, tokenfiles, topk, toxicity
+from . import bpe, mixing, neardup, pii, quality, repeats, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_top_k": topk.op3_top_k,
     "op4_repeats": repeats.op4_repeats,
