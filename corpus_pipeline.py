@@ -1,11 +1,71 @@
-"""Stages that turn ``documents`` into training rows."""
+"""From raw ``documents`` to encoded training rows, by five of the corpus operators.
 
-STAGES: list = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as
+Parquet in the shared folder and read again as the next stage's documents.  All stages but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, mixing, neardup, pii, quality
+from millrace.llm.common import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject.
+
+    Verdicts belong to a row's language and text, so rows need no unique id.
+    """
+    keyed = docs.withColumns({"__k1": F.xxhash64("lang", "text"), "__k2": F.xxhash64(F.lit(1), "text", "lang")})
+    judged = quality.judged(keyed.select(F.struct("__k1", "__k2").alias("doc_id"), "lang", "text"))
+    # Keys of rejected texts: partial aggregation makes a text's copies one row.
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id.__k1").alias("__k1"), F.col("doc_id.__k2").alias("__k2")).distinct()
+    return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every group of near duplicates on five-word shingles.
+
+    Rows of one doc_id are one document and stay or go together; rows without a doc_id stay.
+    """
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), width=5)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in angle brackets in place of every span of personal data."""
+    return pii.redacted(docs, pii.trained(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, cuts or drops documents as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and the decoded text of every row."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: MinHash candidates, a trained network and a tokenizer have no SQL; tests hold the stages
+#: against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
