@@ -4,10 +4,11 @@ An odd sketch folds a document's MinHash samples into a bitmap of parities.  Sam
 two documents share cancel in the XOR of their bitmaps, so its population count estimates
 how many differ, most precisely where few do.
 
-No bucket's pairs are ever written out: in each round a bucket's smallest open member is
-compared with the members of other components; found links join components, and a bucket
-whose members are one component is closed.  Buckets that stay open after ``ROUNDS`` give
-the remaining pairs of different components of like size, and nothing else.
+No bucket's pairs are ever written out: in each round a bucket's leader, the open member
+that meets most others over all its buckets, is compared with the members of other
+components; found links join components, and a bucket whose members are one component is
+closed.  Members of different components in buckets that stay open after ``ROUNDS`` are
+compared by sketch in blocks of bounded size, inside tasks that give only likely pairs.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from .common import materialize, mix64, only, per_batch, random64, slices, table
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**6)**48 < 1e-6.
 BANDS, ROWS = 48, 6
 #: MinHash samples folded into a sketch of SKETCH_BITS bits.
-SAMPLES, SKETCH_BITS = 128, 512
-#: Sketches estimating a similarity more than this below the threshold (over 6 standard deviations) end a candidate.
-MARGIN = 0.25
+SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024
+#: Sketches estimating a similarity more than this below the threshold (over 5 standard deviations) end a candidate.
+MARGIN = 0.16
 PERCENT = 80
 ROUNDS = 3
+#: Samples, bits and margin of the finer sketches that members of buckets still open get.
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 2048, 8192, 0.05
+#: Members of a block that are compared with each other in one task.
+BLOCK = 1024
 
-_A32 = (random64(BANDS * ROWS, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_A32 = (random64(FINE_SAMPLES, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = random64(BANDS * ROWS, 37)
 _SHINGLE = random64(64, 41) | np.uint64(1)
 
@@ -56,20 +61,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS 32-bit minima; every odd multiplier permutes the 32-bit hashes."""
+def minhash(s: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+    """32-bit minima of a set; every odd multiplier permutes the 32-bit hashes."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(_A32), 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 256):
-        np.minimum(best, (x[lo : lo + 256, None] * _A32).min(0), out=best)
+    factors = _A32[:samples]
+    best = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = max(16, (1 << 16) // samples)
+    for lo in range(0, len(x), step):
+        np.minimum(best, (x[lo : lo + step, None] * factors).min(0), out=best)
     return best
 
 
-def odd_sketch(mins: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities of the first SAMPLES (place, minimum) pairs, as 64-bit words."""
-    at = mix64(mins[:SAMPLES].astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(40)))
-    bits = np.bincount((at % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
+def odd_sketch(mins: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """``bits`` parities of the (place, minimum) pairs, as 64-bit words."""
+    at = mix64(mins.astype(np.uint64) + (np.arange(len(mins), dtype=np.uint64) << np.uint64(40)))
+    odd = np.bincount((at % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fine_sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fine array<long>) of (doc_id, text)."""
+
+    def run(b: pa.RecordBatch):
+        for lo, hi, data, offs in slices(b.column(1)):
+            fine = [odd_sketch(minhash(s, FINE_SAMPLES), FINE_BITS).view(np.int64) for s in shingle_sets(data, offs, width)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fine, pa.list_(pa.int64()))], ["doc_id", "fine"])
+
+    return per_batch(texts.select("doc_id", "text"), run, "doc_id long, fine array<long>")
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -121,16 +139,86 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Odd bits of two sketches up to which their estimate of the similarity leaves the threshold possible.
+def _most_odd(samples: int, bits: int, margin: float) -> int:
+    return int(bits / 2 * (1 - np.exp((PERCENT / 100 - margin - 1) * 4 * samples / bits)))
+
+
+MOST_ODD = _most_odd(SAMPLES, SKETCH_BITS, MARGIN)
+FINE_MOST_ODD = _most_odd(FINE_SAMPLES, FINE_BITS, FINE_MARGIN)
+
+
 def sifted(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and odd sketches leave the threshold possible."""
     left = sigs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = sigs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    p = pairs.join(right, "b").join(left, "a").where("100 * least(na, nb) >= %d * greatest(na, nb)" % PERCENT)
+    p = pairs.join(right, "b").join(left, "a").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     odd = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    # A share of at least 1/2 odd bits says nothing but "far apart".
-    empty = 1 - 2 * odd / F.lit(float(SKETCH_BITS))
-    similar = 1 + F.lit(SKETCH_BITS / (4.0 * SAMPLES)) * F.log(F.greatest(empty, F.lit(1e-9)))
-    return p.where(similar >= PERCENT / 100 - MARGIN).select("a", "b")
+    return p.where(odd <= MOST_ODD).select("a", "b")
+
+
+def block_pairs(open_: DataFrame, sigs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket of (key, doc_id, n, comp) that sizes
+    and odd sketches leave possible.
+
+    A bucket of more than ``BLOCK`` members falls into blocks; each pair of blocks is a group
+    of its own, so no task gathers a bucket and only likely pairs leave a task."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    d = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    sketches = sigs.select("doc_id", "sketch").join(fine, "doc_id")
+    d = d.join(sketches, "doc_id").select("key", "lo", "hi", "own", "doc_id", "n", "comp", "sketch", "fine")
+
+    def compare(g: list[np.ndarray]):
+        lo, hi, own, doc, n, comp, sketch, fine = g
+        left, right = (np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0]))
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
+            odd = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None]).sum(-1, dtype=np.int32)
+            small, large = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
+            ok = (odd <= MOST_ODD) & (comp[i][:, None] != comp[right]) & (100 * small >= PERCENT * large)
+            if lo[0] == hi[0]:
+                ok &= doc[i][:, None] < doc[right]
+            x, y = np.nonzero(ok)
+            sure = np.zeros(len(x), bool)
+            for c in range(0, len(x), 4096):
+                part = slice(c, c + 4096)
+                apart = np.bitwise_count(fine[i[x[part]]] ^ fine[right[y[part]]]).sum(1, dtype=np.int32)
+                sure[part] = apart <= FINE_MOST_ODD
+            x, y = x[sure], y[sure]
+            yield np.minimum(doc[i[x]], doc[right[y]]), np.maximum(doc[i[x]], doc[right[y]])
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        key = None
+
+        def close():
+            for a, b in compare(held):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(7)]
+            bits = [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64) for c in (7, 8)]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols[:3]:
+                change[1:] |= c[1:] != c[:-1]
+            edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                this = (cols[0][a], cols[1][a], cols[2][a])
+                part = [*(c[a:b] for c in cols[1:]), *(x[a:b] for x in bits)]
+                if this == key:
+                    held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+                else:
+                    if held is not None and len(held[0]) > 1:
+                        yield from close()
+                    key, held = this, part
+        if held is not None and len(held[0]) > 1:
+            yield from close()
+
+    d = d.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return d.mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -201,14 +289,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
     tested = spark.createDataFrame([], "a long, b long")
     for k in range(rounds + 1):
         if k < rounds:
-            lead = open_.groupBy("key").agg(F.min(F.struct("doc_id", "comp")).alias("lead"))
-            pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp").select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
+            # Weight: how many members a document meets over all its open buckets.
+            met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+            weights = open_.join(met, "key").groupBy("doc_id").agg(F.sum("others").alias("w"))
+            weighed = materialize(open_.join(weights, "doc_id"), "weighed")
+            lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
+            pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp")
+            pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
         else:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = open_.join(other, "key").where(f"doc_id < b and comp <> cb and 100 * least(n, nb) >= {PERCENT} * greatest(n, nb)").select(F.col("doc_id").alias("a"), "b")
+            left = open_.select("doc_id").distinct()
+            pairs = block_pairs(open_, small, materialize(fine_sketches(only(texts, left, "doc_id"), width), "fine"))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
-        found = materialize(confirmed(materialize(sifted(pairs, small), "sifted"), texts, width), "found")
+        likely = materialize(sifted(pairs, small), "sifted") if k < rounds else pairs
+        found = materialize(confirmed(likely, texts, width), "found")
         fresh = not found.isEmpty()
         if fresh:
             links = links.union(found)
