@@ -17,7 +17,7 @@ summed before they are shuffled, and only distinct contexts go to a suffix array
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import materialize, mix64, only, per_batch, random64, table, without
+from .common import discard, materialize, mix64, only, per_batch, random64, table, without
 
 LENGTH, GRAM = 200, 32
 #: Distinct contexts of one anchor that one suffix array takes; windows of wider anchors are counted by hash.
@@ -177,19 +177,19 @@ def repeat_groups(befores: list[bytes], afters: list[bytes], least: int, total:
             yield left, depth, rows[a : b + 1]
 
 
-def group_windows(ctxs: list[int], befores: list[bytes], afters: list[bytes], spans: list[tuple[int, int]], length: int, gram: int) -> set[tuple[int, int, int]]:
+def group_windows(ctxs: list[int], befores: list[bytes], afters: list[bytes], spans: list[tuple[int, int]], length: int, gram: int) -> list[tuple[int, int, int]]:
     """(ctx, first offset, last offset): windows of the distinct contexts of one anchor that
     start so many bytes before it and are repeated in another context.
 
     spans are the offsets of the windows that belong to each context."""
-    out = set()
+    found: dict[int, set] = {}
     if len(ctxs) > 1:
         for reach, depth, rows in repeat_groups(befores, afters, gram, length):
             for i in rows:
                 a, b = max(spans[i][0], length - depth), min(spans[i][1], reach)
                 if a <= b:
-                    out.add((ctxs[i], a, b))
-    return out
+                    found.setdefault(i, set()).add((a, b + 1))
+    return [(ctxs[i], a, b - 1) for i, runs in found.items() for a, b in merged(runs)]
 
 
 def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
@@ -198,7 +198,9 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
     gram = min(GRAM, length)
     every = materialize(anchor_rows(packed, length), "anchors")
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
-    met = materialize(only(every, materialize(again, "again"), "anchor"), "met")
+    # Anchors that occur again are a share of all at any size, so both sides are shuffled.
+    met = materialize(every.join(again, "anchor", "left_semi"), "met")
+    discard(every)
     ctx = met.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("rep"))
     ctx = materialize(ctx, "contexts")
     # Full: the whole context occurs again.  Open: it meets other contexts of its anchor.
@@ -301,10 +303,10 @@ def pack(docs: DataFrame) -> DataFrame:
     return per_batch(docs, run, docs.select("row", "key").schema.add("packed", "binary"))
 
 
-def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of half-open ranges."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(lo.tolist(), hi.tolist(), strict=True)):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -339,7 +341,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTE
         for i in range(b.num_rows):
             data = un.decompress(b.column(1)[i].as_py())
             a, e = (int(ends[i - 1]) if i else 0), int(ends[i])
-            cut = merged(starts[a:e], stops[a:e] + length)
+            cut = merged(zip(starts[a:e].tolist(), (stops[a:e] + length).tolist(), strict=True))
             at, left = 0, []
             for s, t in cut:
                 left.append(data[at:s])
