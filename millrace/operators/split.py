@@ -30,13 +30,14 @@ def boundaries(df: DataFrame, spec: PanelSpec = SPEC, ratios: Sequence[float] |
         raise ValueError("three ratios with the sum 1 are needed")
     t = spec.time_col
     counts = df.groupBy(t).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("cum", F.sum("n").over(Window.orderBy(F.col(t).asc_nulls_last())))
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    if n < 10:
+    everything = F.sum("n").over(Window.partitionBy())
+    running = counts.select(t, F.sum("n").over(Window.orderBy(F.col(t).asc_nulls_last())).alias("cum"), everything.alias("n"))
+    at_val = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(ratios[0]))))
+    at_test = F.greatest(at_val + 1, F.floor(F.col("n") * F.lit(float(ratios[0] + ratios[1]))))
+    opens = lambda at: F.min(F.when(F.col("cum") > F.least(at, F.col("n") - 1), F.col(t)))
+    found = running.agg(opens(at_val).alias("v"), opens(at_test).alias("t"), F.max("n").alias("n")).first()
+    if (found["n"] or 0) < 10:
         raise ValueError("at least 10 rows are needed for a split by ratios")
-    at_val = max(1, int(n * ratios[0]))
-    at_test = max(at_val + 1, int(n * (ratios[0] + ratios[1])))
-    found = running.agg(*[F.min(F.when(F.col("cum") > i, F.col(t))).alias(name) for name, i in (("v", at_val), ("t", min(at_test, n - 1)))]).first()
     if found["v"] is None or found["t"] is None or not found["v"] < found["t"]:
         raise ValueError("the parts' first times coincide; use other ratios or fixed times")
     return found["v"], found["t"]
