@@ -13,7 +13,6 @@ or an @ is decided without running the network: nothing in it could count.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from dataclasses import dataclass

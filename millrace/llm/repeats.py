@@ -16,7 +16,6 @@ summed before they are shuffled, and only distinct contexts go to a suffix array
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
