@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, cyclical
-from ..operators import align, audit, clean, lags, samples, scoring, split
+from ..operators import align, audit, clean, lags, scoring, split
 from ..spec import SPEC, PanelSpec
 from . import features
 
