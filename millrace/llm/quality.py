@@ -26,8 +26,10 @@ CHAR_CLASSES = ("lower", "upper", "digit", "space", "symbol", "other_ascii", "no
 #: A distance from here on rejects a document that is long enough for it.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.32, 300
 MAX_WORD_DISTANCE, MIN_WORDS = 0.42, 20
-#: Languages with a reference of their own, the largest first; others share the pooled one.
+#: The SQL gives so many languages a reference; the DataFrames give every language one.
 MAX_LANGUAGES = 64
+#: References of up to so many languages are broadcast, of the largest first; others are shuffled.
+BROADCAST_LANGUAGES = 10_000
 
 
 def _kept_chars(text: Column, drop: str) -> Column:
@@ -97,16 +99,31 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(f: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Histograms of the ``MAX_LANGUAGES`` largest languages, and of all documents.
-
-    Both have a bounded number of rows of fixed length, so they can be broadcast.
-    """
+    """Histograms of every language with its number of documents, and of all documents (one row)."""
     bins = (("chars", len(CHAR_CLASSES)), ("common", len(COMMON_WORDS) + 2))
     sums = [F.coalesce(F.sum(F.get(F.col(c), F.lit(i))), F.lit(0)).alias(f"{c}_{i}") for c, n in bins for i in range(n)]
     pack = lambda to: [F.array(*[F.col(f"{c}_{i}") for i in range(n)]).alias(f"{to}_{c}") for c, n in bins]
     by_lang = f.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
-    by_lang = by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select(F.col("lang").alias("ref_lang"), *pack("lang"))
-    return by_lang, f.agg(*sums).select(*pack("all"))
+    return by_lang.select(F.col("lang").alias("ref_lang"), "n", *pack("lang")), f.agg(*sums).select(*pack("all"))
+
+
+def with_reference(f: DataFrame, by_lang: DataFrame) -> DataFrame:
+    """Adds the histograms of each row's language; null for a null language.
+
+    ``by_lang`` is broadcast after its rows were counted.  Of more than ``BROADCAST_LANGUAGES``
+    only the largest are; those that are shuffled then hold a small share of the rows each.
+    """
+    by_lang = materialize(by_lang, "languages")
+    own = F.col("lang") == F.col("ref_lang")
+    if by_lang.count() <= BROADCAST_LANGUAGES:
+        return f.join(F.broadcast(by_lang.drop("n")), own, "left").drop("ref_lang")
+    large = materialize(by_lang.orderBy(F.desc("n"), "ref_lang").limit(BROADCAST_LANGUAGES), "languages").drop("n")
+    names = F.broadcast(large.select("ref_lang"))
+    small = by_lang.join(names, "ref_lang", "left_anti").drop("n")
+    rest = f.where("lang is not null").join(names, own, "left_anti")
+    parts = [f.join(F.broadcast(large), own), rest.join(small.hint("merge"), own)]
+    none = f.where("lang is null").select("*", *[F.lit(None).cast("array<bigint>").alias(c) for c in ("lang_chars", "lang_common")])
+    return parts[0].union(parts[1]).drop("ref_lang").union(none)
 
 
 def with_js_distance(d: DataFrame, p: Column, q: Column, into: str) -> DataFrame:
@@ -125,12 +142,12 @@ def with_js_distance(d: DataFrame, p: Column, q: Column, into: str) -> DataFrame
 def judged(docs: DataFrame) -> DataFrame:
     """The rules' figures and verdict for every document.
 
-    Null and empty texts have no words and fail the base rule.  A null or rare language is
-    compared with all documents.  Repeated rows get a row each; an empty table gives none.
+    Null and empty texts have no words and fail the base rule.  A null language is compared
+    with all documents.  Repeated rows get a row each; an empty table gives none.
     """
     f = materialize(features(docs), "quality")
     by_lang, everything = references(f)
-    j = f.join(F.broadcast(by_lang), F.col("lang") == F.col("ref_lang"), "left").crossJoin(F.broadcast(everything))
+    j = with_reference(f, by_lang).crossJoin(F.broadcast(everything))
     j = with_js_distance(j, F.col("chars"), F.coalesce("lang_chars", "all_chars"), "char_distance")
     j = with_js_distance(j, F.col("common"), F.coalesce("lang_common", "all_common"), "word_distance")
     j = j.withColumn("n_chars", F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x))

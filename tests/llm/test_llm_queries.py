@@ -412,6 +412,20 @@ def test_quality_keeps_clean_documents(spark):
     assert j[j.quality == 0].kept.mean() < 0.2
 
 
+def test_every_language_has_its_own_reference(spark, monkeypatch):
+    """More languages than the SQL's limit: the smallest, in another script, keeps its clean document."""
+    latin = [f"{k:02d}" for k in range(quality.MAX_LANGUAGES + 2)]
+    text = lambda letters, k: " ".join("".join(letters[(i * 7 + j * k) % len(letters)] for j in range(4 + i % 5)) + str(i) for i in range(90))
+    rows = [(2 * i + k, text("abcdefghijklmnopqrstuvwxyz", 3 + i + k), lang) for i, lang in enumerate(latin) for k in range(2)]
+    rows += [(900, text("กขคงจฉชซฌญฎฏฐฑ", 3), "th"), (901, text("აბგდევზთიკლმ", 5), "ka"), (902, text("abcdefghijklmnop", 3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(quality.judged(docs).collect())
+    assert {r["doc_id"] for r in got if r["kept"]} >= {900, 901}
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SMALL).collect()} >= {900, 901}
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 3)
+    assert sorted(quality.judged(docs).collect()) == got
+
+
 def test_pipeline_stages(spark, odd):
     """Each stage against what its operator must do, on awkward rows and on sf0.001."""
     for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), spark.read.parquet(f"{SMALL}/documents.parquet")):
