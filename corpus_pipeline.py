@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, neardup, pii, quality
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, only
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of near duplicates on five-word shingles.
+    """Keeps one row of every group of near duplicates on five-word shingles, of its smallest doc_id.
 
-    Rows of one doc_id are one document and stay or go together; rows without a doc_id stay.
+    Every row is a document of its own, also where a doc_id is null or repeats.
     """
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), width=5)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), width=5).where("n_shingles > 0").select("row_key", "kept_key"), "found")
+    gone = found.where("row_key <> kept_key").select(F.col("row_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", neardup.row_key())
+    # Rows that are equal in doc_id and text share a key; one of them stays.
+    twice = found.where("row_key = kept_key").groupBy(F.col("row_key").alias("__key")).agg(F.count(F.lit(1)).alias("c"))
+    twice = materialize(twice.where("c > 1").select("__key"), "twice")
+    if twice.isEmpty():
+        return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+    once = keyed.join(gone.union(twice), "__key", "left_anti").select(*docs.columns)
+    row = F.min(F.struct(*docs.columns)).alias("row")
+    return once.union(only(keyed, twice, "__key").groupBy("__key").agg(row).select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

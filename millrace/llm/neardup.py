@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, only, per_batch, random64, slices, table, word_hashes
+from .common import _checked, materialize, mix64, only, per_batch, random64, slices, table, word_hashes
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**6)**48 < 1e-6.
 BANDS, ROWS = 48, 6
@@ -91,7 +91,8 @@ def fine_sketches(texts: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, set1, set2, bands array<long>, sketch array<long>); set1, set2 tell sets apart."""
+    """(doc_id, own, n, set1, set2, bands array<long>, sketch array<long>) of (doc_id, text, own);
+    set1, set2 tell sets apart."""
 
     def run(b: pa.RecordBatch):
         for lo, hi, data, offs in slices(b.column(1)):
@@ -108,9 +109,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 else:
                     bands.append([])
                     sketch.append([])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "set1", "set2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "own", "n", "set1", "set2", "bands", "sketch"])
 
-    return per_batch(docs, run, "doc_id long, n long, set1 long, set2 long, bands array<long>, sketch array<long>")
+    return per_batch(docs, run, "doc_id long, own long, n long, set1 long, set2 long, bands array<long>, sketch array<long>")
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -259,27 +260,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return p.mapInArrow(run, "a long, b long")
 
 
+def row_key() -> Column:
+    """64-bit hash of a row's doc_id and text: the document that near duplicates are found by."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, row_key, kept_key, kept) of ``docs`` (doc_id, text).
 
     Links join documents whose sets of ``width``-word shingles have a Jaccard similarity of
     0.8 or more; a component's id is its smallest doc_id.  Words are lower-cased for A-Z.
-    Texts without words (or null) link with nothing.  Rows that repeat a doc_id are read as
-    one document each; null doc_ids stay alone, with a null component.  An empty table gives
-    no rows.
+    Texts without words (or null) link with nothing.  Every row is a document of its own, also
+    where a doc_id is null or repeats; a component of null doc_ids alone has a null id.  One
+    row of a component is ``kept``, of its smallest doc_id; ``kept_key`` is that row's key.
+    An empty table gives no rows.
     """
-    known = docs.select(F.col("doc_id").cast("long"), "text")
-    sigs = materialize(signatures(known, width), "signatures")
-    # Equal sets are one class; only its smallest doc_id goes on.
-    classes = sigs.where("n > 0 and doc_id is not null").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    one = sigs.where("n > 0 and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "set1", "set2", "n"), ["doc_id", "set1", "set2", "n"], "left_semi")
-    one = one.dropDuplicates(["doc_id", "set1", "set2"])
+    # From here to the end doc_id is the row's key and own is its doc_id.
+    known = docs.select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own"))
+    sigs = materialize(signatures(known, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # Equal sets are one class; only the row of its smallest doc_id goes on.
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id", "row"))
+    classes = sigs.where("n > 0").groupBy("set1", "set2", "n").agg(first.alias("first"))
+    classes = materialize(classes.withColumn("rep", F.col("first.doc_id")), "classes")
+    one = sigs.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi")
     members = one.select(F.explode("bands").alias("key"), "doc_id", "n")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = materialize(members.join(shared, "key"), "members")
     used = materialize(members.select("doc_id").distinct(), "used")
-    texts = materialize(only(known.where("doc_id is not null"), used, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = materialize(only(known.select("doc_id", "text"), used, "doc_id").dropDuplicates(["doc_id"]), "texts")
     small = materialize(only(sigs.select("doc_id", "n", "sketch"), used, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
     spark = docs.sparkSession
@@ -293,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
             met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
             weights = open_.join(met, "key").groupBy("doc_id").agg(F.sum("others").alias("w"))
             weighed = materialize(open_.join(weights, "doc_id"), "weighed")
-            lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
+            lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc_id").alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
             pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp")
             pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
         else:
@@ -318,15 +326,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
         if open_.isEmpty():
             break
 
-    classes = classes.join(comp, classes["rep"] == comp["node"], "left").select("set1", "set2", F.col("n").alias("cn"), F.coalesce("comp", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n", "set1", "set2")
+    # A component's kept row is the first one of its classes.
+    firsts = classes.join(comp, classes["rep"] == comp["node"]).groupBy("comp").agg(F.min("first").alias("lowest"))
+    lowest = comp.join(_checked(materialize(firsts, "firsts")), "comp").select("node", "lowest")
+    classes = classes.join(lowest, classes["rep"] == lowest["node"], "left").select("set1", "set2", F.col("n").alias("cn"), F.coalesce("lowest", "first").alias("first"))
+    out = sigs.select("doc_id", "own", "row", "n", "set1", "set2")
     linked = out.where("n > 0").join(classes, (out["set1"] == classes["set1"]) & (out["set2"] == classes["set2"]) & (out["n"] == classes["cn"]), "left")
-    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return linked.union(out.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
+    names = ("doc_id", "n_shingles", "component_id", "row_key", "kept_key", "kept")
+    linked = linked.select("own", "n", "first.own", "doc_id", "first.doc_id", F.col("row") == F.col("first.row")).toDF(*names)
+    return linked.union(out.where("n = 0").select("own", "n", "own", "doc_id", "doc_id", F.lit(True)).toDF(*names))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near duplicates on 4-word shingles; the smallest doc_id of each is kept."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    """Components of near duplicates on 4-word shingles; one row of each, of the smallest doc_id, is kept."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

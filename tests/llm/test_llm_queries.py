@@ -85,6 +85,26 @@ def test_chain_is_one_component(spark):
     assert got == brute_components(rows, 4) and {c for _, c in got.values()} == {71}
 
 
+def test_rows_that_repeat_or_lack_a_doc_id(spark):
+    """Copies go by row: without a doc_id, with an equal one, and with one that stands on two texts."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [
+        (1, text("a"), "x"), (None, text("a"), "x"), (1, text("a"), "x"), (1, text("a"), "w"),
+        (7, text("a"), "x"), (7, text("b"), "x"), (8, text("b") + " more", "x"),
+        (None, text("c"), "x"), (None, text("c") + " more", "x"), (None, text("d"), "x"), (None, None, "x"), (9, "", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = neardup.near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    key = lambda r: (r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0)
+    assert sorted(map(key, found)) == sorted([(1, 57, 1)] * 3 + [(0, 57, 1), (7, 57, 1), (7, 57, 7), (8, 58, 7), (0, 57, 0), (0, 58, 0), (0, 57, 0), (0, 0, 0), (9, 0, 9)])
+    kept = [key(r) for r in found if r["kept"]]
+    assert len(kept) == 6 and {(1, 57, 1), (7, 57, 7), (0, 0, 0), (9, 0, 9)} <= set(kept)
+    left = sorted(((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()), key=repr)
+    c = [r for r in left if r[1] and r[1].startswith("c")]
+    assert len(c) == 1 and sorted([r for r in left if r not in c], key=repr) == sorted([(1, text("a"), "w"), (7, text("b"), "x"), rows[9], rows[10], rows[11]], key=repr)
+
+
 def test_odd_sketch_estimates_high_similarities():
     rng = np.random.default_rng(1)
     for share, samples, bits, margin in itertools.product((0.95, 0.9), (neardup.SAMPLES, neardup.FINE_SAMPLES), (0,), (0,)):
