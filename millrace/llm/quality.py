@@ -26,8 +26,6 @@ CHAR_CLASSES = ("lower", "upper", "digit", "space", "symbol", "other_ascii", "no
 #: A distance from here on rejects a document that is long enough for it.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.32, 300
 MAX_WORD_DISTANCE, MIN_WORDS = 0.42, 20
-#: The SQL gives so many languages a reference; the DataFrames give every language one.
-MAX_LANGUAGES = 64
 #: References of up to so many languages are broadcast, of the largest first; others are shuffled.
 BROADCAST_LANGUAGES = 10_000
 
@@ -161,6 +159,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of the quality rules for every document.
+
+    Null, empty and blank texts have no words and fail the base rule; null languages are compared
+    with all documents; repeated rows get a row each; an empty table gives no rows.  Extra columns
+    are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return judged(docs).drop("char_distance", "word_distance")
 
@@ -201,8 +205,7 @@ h AS (
   SELECT *, [lo, up, dg, n - word_chars, n_symbols, word_chars - n_symbols - na - lo - up - dg, na]::DOUBLE[] AS chars,
     (cw || [bare, n_words - list_sum(cw) - bare])::DOUBLE[] AS common FROM f),
 refs AS (
-  SELECT lang, {sums("chars", _NC)} AS rc, {sums("common", _NW)} AS rw FROM h WHERE lang IS NOT NULL
-  GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {MAX_LANGUAGES}),
+  SELECT lang, {sums("chars", _NC)} AS rc, {sums("common", _NW)} AS rw FROM h WHERE lang IS NOT NULL GROUP BY lang),
 pooled AS (SELECT {sums("chars", _NC)} AS ac, {sums("common", _NW)} AS aw FROM h),
 j AS (SELECT h.*, coalesce(rc, ac) AS qc, coalesce(rw, aw) AS qw FROM h LEFT JOIN refs USING (lang) CROSS JOIN pooled),
 s AS (SELECT *, {_sql_js("chars", "qc", _NC)} AS cd, {_sql_js("common", "qw", _NW)} AS wd,
