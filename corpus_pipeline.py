@@ -21,8 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     keyed = docs.withColumns({"__k1": F.xxhash64("lang", "text"), "__k2": F.xxhash64(F.lit(1), "text", "lang")})
     judged = quality.judged(keyed.select(F.struct("__k1", "__k2").alias("doc_id"), "lang", "text"))
+    # Verdicts are written first: a filter on them would be pushed into the distances and repeat those.
+    judged = materialize(judged.select("doc_id.__k1", "doc_id.__k2", "kept"), "verdicts")
     # Keys of rejected texts: partial aggregation makes a text's copies one row.
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id.__k1").alias("__k1"), F.col("doc_id.__k2").alias("__k2")).distinct()
+    bad = judged.where(~F.col("kept")).select("__k1", "__k2").distinct()
     return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
