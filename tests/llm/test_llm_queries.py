@@ -35,7 +35,7 @@ def test_awkward_and_empty_tables(spark, odd, empty, stored, tmp_path, name):
     if name != "op3_top_k":
         assert len(got) == odd.count()
     else:
-        assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5, 128 * 256 + 256 * 256)]
+        assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, k, 5, 128 * 256 + 256 * 256) for k in (1, 2)]
     for t, df in (("documents", empty), ("labels", labels.limit(0)), ("embeddings", vectors.limit(0))):
         df.write.mode("overwrite").parquet(str(tmp_path / "none" / f"{t}.parquet"))
     assert entry.QUERIES[name](spark, str(tmp_path / "none")).count() == 0
@@ -467,15 +467,49 @@ def test_weighted_shards_and_groups(spark):
         sharding.assign(d, "k", [])
 
 
-def test_top_k_in_small_blocks(spark):
+def brute_top_k(rows, every, top):
+    """(query_id, rank, vec_id, score) of rows (vec_id, ints), each row a candidate of its own."""
+    out = []
+    for i, (q, a) in enumerate(rows):
+        if q % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), v) for j, (v, b) in enumerate(rows) if j != i and len(a) == len(b))[:top]
+            out += [(q, k + 1, v, -s) for k, (s, v) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["passes", "repeats", "large", "few"])
+def test_top_k_equals_brute_force(spark, case):
     rng = np.random.default_rng(4)
-    v = rng.integers(-9, 9, (300, 7))
-    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<long>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), top=3, block=8).collect()}
-    scores = v @ v.T
-    for q in range(0, 300, 10):
-        order = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[q, i], i))[:3]
-        assert [got[q, k + 1] for k in range(3)] == [(i, scores[q, i]) for i in order]
+    high = 2**40 if case == "large" else 9
+    rows = [(i, [int(x) for x in r]) for i, r in enumerate(rng.integers(-high, high, (4 if case == "few" else 300, 2 if case == "large" else 7)))]
+    if case == "large":  # beyond what float64 holds, within a long
+        rows = [(i, [x % 2**31 - 2**30, y % 2**31 - 2**30]) for i, (x, y) in rows]
+    if case == "repeats":  # rows with an equal id: copies, and other vectors; also of queries
+        rows += [rows[10], rows[10], (20, rows[21][1]), (7, rows[8][1]), (7, [1] * 5), (30, [2] * 5)]
+    df = common.materialize(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, vec_id long, v array<long>").repartition(3), "test-vectors")
+    found = topk.top_k(df, df.where("vec_id % 10 = 0"), top=3, query_bytes=500 if case == "passes" else 1 << 20).collect()
+    assert sorted(map(tuple, found)) == brute_top_k(rows, 10, 3)
+
+
+def test_scores_beyond_a_long_are_errors(spark):
+    big = np.array([[2**40, 2**40]])
+    with pytest.raises(OverflowError):
+        topk.product(big, big)
+    assert topk.product(big, -big // 2**20).tolist() == [[-(2**61)]]
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.quantized(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+
+
+def test_repeated_rows_in_sql_and_query(spark, stored):
+    rows = [(0, [0.5, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [0.25, 0.5]), (50, [0.1, 0.2]), (50, [0.1, 0.2])]
+    path = stored(embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    got = topk.op3_top_k(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(topk.ORACLE["op3_top_k"]).project("query_id, rank, vec_id, score").fetchall())
+    assert got.where("query_id = 0 and vec_id = 7").count() == 2
 
 
 def test_quality_keeps_clean_documents(spark):
