@@ -10,8 +10,14 @@ left contexts are scanned the same way, and where left extensions differ an inte
 its members are a maximal repeat group.
 
 Most anchors need none of this.  One that occurs once repeats nothing; occurrences whose
-whole contexts are equal repeat in full.  Both are decided by counts of 64-bit hashes,
-summed before they are shuffled, and only distinct contexts go to a suffix array.
+whole contexts are equal repeat in full.  Both are decided by counts of hashes (64 bits of
+the anchor and 64 of the context, so 128 that agree), summed before they are shuffled, and
+only distinct contexts go to a suffix array.
+
+An anchor with more distinct contexts than one array takes is split: its windows start from
+0 to length - gram bytes before it, and those of either half of this range share more bytes on
+one side, so contexts that differ there part.  Parts are split on until an array takes them
+or a part is a single string, which then is one interval that all its members share.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql.types import ArrayType, StructType
 from .common import discard, materialize, mix64, only, per_batch, random64, table, without
 
 LENGTH, GRAM = 200, 32
-#: Distinct contexts of one anchor that one suffix array takes; windows of wider anchors are counted by hash.
+#: Distinct contexts that one suffix array takes; wider anchors are split.
 MAX_CONTEXTS = 20_000
 #: Bytes of a text that are worked on at a time.
 BLOCK = 1 << 19
@@ -180,7 +186,7 @@ def group_windows(ctxs: list[int], befores: list[bytes], afters: list[bytes], sp
     """(ctx, first offset, last offset): windows of the distinct contexts of one anchor that
     start so many bytes before it and are repeated in another context.
 
-    spans are the offsets of the windows that belong to each context."""
+    spans are the offsets of the windows that count for each context."""
     found: dict[int, set] = {}
     if len(ctxs) > 1:
         for reach, depth, rows in repeat_groups(befores, afters, gram, length):
@@ -196,15 +202,17 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
     too, in texts (row, packed)."""
     gram = min(GRAM, length)
     every = materialize(anchor_rows(packed, length), "anchors")
+    # Counts are written before they are joined: the join then is a plain one, whose hot keys the
+    # engine splits.  Anchors that occur again are a share of all at any size: both sides are shuffled.
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
-    # Anchors that occur again are a share of all at any size, so both sides are shuffled.
-    met = materialize(every.join(again, "anchor", "left_semi"), "met")
+    met = materialize(every.join(materialize(again, "again"), "anchor", "left_semi"), "met")
     discard(every)
     ctx = met.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("rep"))
     ctx = materialize(ctx, "contexts")
     # Full: the whole context occurs again.  Open: it meets other contexts of its anchor.
-    full = met.join(ctx.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("row", "lo", "hi")
-    kinds = ctx.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    twice = materialize(ctx.where("n > 1").select("anchor", "ctx"), "full")
+    full = met.join(twice, ["anchor", "ctx"], "left_semi").select("row", "lo", "hi")
+    kinds = materialize(ctx.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     open_ = materialize(ctx.join(kinds, "anchor").select("anchor", "ctx", "n", "kinds", "rep.*"), "open")
     # Bytes of one representative for each open context, cut from the texts.
     wanted = open_.groupBy("row").agg(F.collect_list(F.struct("anchor", "ctx", "n", "kinds", "at", "lo", "hi")).alias("asks"))
@@ -213,17 +221,22 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
 
     def contexts(b: pa.RecordBatch):
         un = zstandard.ZstdDecompressor()
-        rows = []
-        for blob, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            data = un.decompress(blob)
-            for k in asks:
-                at = k["at"]
-                rows.append({"anchor": k["anchor"], "ctx": k["ctx"], "n": k["n"], "kinds": k["kinds"], "first": at - k["hi"], "last": at - k["lo"], "before": data[k["lo"] : at][::-1], "after": data[at : k["hi"] + length]})
-            if len(rows) > 5000:
-                yield pa.RecordBatch.from_pylist(rows, _CONTEXT)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _CONTEXT)
+        asks = b.column(1)
+        ends = np.cumsum(pa.compute.list_value_length(asks).to_numpy())
+        flat = asks.flatten()
+        at, lo, hi = (flat.field(k).to_numpy() for k in ("at", "lo", "hi"))
+        done = 0
+        before, after = [], []
+        for i in range(b.num_rows):
+            data = un.decompress(b.column(0)[i].as_py())
+            for k in range(int(ends[i - 1]) if i else 0, int(ends[i])):
+                before.append(data[lo[k] : at[k]][::-1])
+                after.append(data[at[k] : hi[k] + length])
+            if len(before) > 5000 or i + 1 == b.num_rows:
+                some = slice(done, done + len(before))
+                cols = [*(flat.field(c).slice(done, len(before)) for c in ("anchor", "ctx", "n", "kinds")), pa.array(at[some] - hi[some]), pa.array(at[some] - lo[some]), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "ctx", "n", "kinds", "first", "last", "before", "after"])
+                done, before, after = done + len(before), [], []
 
     cut = materialize(per_batch(cut, contexts, "anchor long, ctx long, n long, kinds long, first long, last long, before binary, after binary"), "cut")
 
@@ -236,46 +249,54 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
 
         out: list = []
         for b in batches:
-            cols = {name: b.column(i).to_pylist() for i, name in enumerate(("anchor", "ctx", "first", "last", "before", "after"))}
-            for i, a in enumerate(cols["anchor"]):
+            cols = {name: b.column(i).to_pylist() for i, name in enumerate(("part", "anchor", "ctx", "first", "last", "before", "after"))}
+            for i, a in enumerate(cols["part"]):
                 if a != key:
                     if key is not None:
-                        out.extend((key, *x) for x in close())
-                    key, group = a, {n: [] for n in ("ctx", "first", "last", "before", "after")}
+                        out.extend((group["anchor"][0], *x) for x in close())
+                    key, group = a, {n: [] for n in ("anchor", "ctx", "first", "last", "before", "after")}
                 for n, v in group.items():
                     v.append(cols[n][i])
                 if len(out) > 20_000:
                     yield _offsets(out)
                     out = []
         if key is not None:
-            out.extend((key, *x) for x in close())
+            out.extend((group["anchor"][0], *x) for x in close())
         if out:
             yield _offsets(out)
 
-    narrow = cut.where(F.col("kinds") <= max_contexts).select("anchor", "ctx", "first", "last", "before", "after")
-    narrow = narrow.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(suffix_arrays, _OFFSETS)
-
-    def windows(b: pa.RecordBatch):
-        for a, c, first, last, before, after in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            data = np.frombuffer(before[::-1] + after, np.uint8)
-            h = gram_hashes(data, length)  # window j starts last - j bytes before the anchor
-            off = last - np.arange(len(h))
-            keep = (off >= first) & (off <= last)
-            n = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, c)), pa.array(off[keep]), pa.array(h[keep].view(np.int64))], ["anchor", "ctx", "off", "h"])
-
-    wide = cut.where(F.col("kinds") > max_contexts).select("anchor", "ctx", "first", "last", "before", "after")
-    wide = per_batch(wide, windows, "anchor long, ctx long, off long, h long")
-    twice = wide.groupBy("anchor", "off", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wide = wide.join(twice, ["anchor", "off", "h"], "left_semi").select("anchor", "ctx", F.col("off").alias("a"), F.col("off").alias("b"))
-    part = materialize(narrow.union(wide).distinct(), "parts")
+    # Parts (lo, hi) of an anchor: its windows that start lo to hi bytes before it.
+    whole = cut.withColumns({"part": F.col("anchor"), "lo": F.lit(0), "hi": F.lit(length - gram)})
+    small, wide = whole.where(F.col("kinds") <= max_contexts), whole.where(F.col("kinds") > max_contexts)
+    ready, single = [small], []
+    while not wide.isEmpty():
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        # Members share the bytes that all windows of their part have: lo before, length - hi after.
+        halves = wide.select("*", F.explode(F.array(F.struct(F.col("lo").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("hi").alias("h")))).alias("half"))
+        halves = halves.select("part", "anchor", "ctx", "n", "first", "last", "before", "after", F.col("half.l").alias("lo"), F.col("half.h").alias("hi"))
+        halves = halves.where((F.greatest("first", "lo") <= F.least("last", "hi")) & (F.length("before") >= F.col("lo")) & (F.length("after") >= F.lit(length) - F.col("hi")))
+        shared = F.xxhash64("part", "lo", "hi", F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
+        halves = materialize(halves.withColumn("part", shared), "halves")
+        sizes = materialize(halves.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sizes")
+        halves = materialize(halves.join(sizes, "part"), "split")
+        one = F.col("lo") == F.col("hi")
+        single.append(halves.where(one).select("anchor", "ctx", F.col("lo").cast("long").alias("a"), F.col("lo").cast("long").alias("b")))
+        ready.append(halves.where(~one & (F.col("kinds") <= max_contexts)))
+        wide = halves.where(~one & (F.col("kinds") > max_contexts))
+    columns = ("part", "anchor", "ctx", F.greatest("first", "lo").alias("first"), F.least("last", "hi").alias("last"), "before", "after")
+    arrays = ready[0].select(*columns)
+    for r in ready[1:]:
+        arrays = arrays.unionByName(r.select(*columns))
+    part = arrays.repartition("part").sortWithinPartitions("part").mapInArrow(suffix_arrays, _OFFSETS)
+    for x in single:
+        part = part.unionByName(x)
+    part = materialize(part.distinct(), "parts")
     # A context that occurs again is full already, so a part's context has one occurrence: its representative.
-    single = open_.where("n = 1").select("anchor", "ctx", "row", "at")
-    part = part.join(single, ["anchor", "ctx"]).select("row", (F.col("at") - F.col("b")).alias("lo"), (F.col("at") - F.col("a")).alias("hi"))
+    alone = open_.where("n = 1").select("anchor", "ctx", "row", "at")
+    part = part.join(alone, ["anchor", "ctx"]).select("row", (F.col("at") - F.col("b")).alias("lo"), (F.col("at") - F.col("a")).alias("hi"))
     return full.union(part)
 
 
-_CONTEXT = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 _OFFSETS = "anchor long, ctx long, a long, b long"
 
 
@@ -360,7 +381,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTE
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What remains of every document's bytes without strings of 200 bytes that start twice."""
+    """What remains of every document's bytes without strings of 200 bytes that start twice.
+
+    Null texts are empty and lose nothing; rows that repeat, with or without a doc_id, are texts of
+    their own and remove each other; an empty table gives no rows.  Extra columns are not read.
+    """
     out = cleaned(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(F.col("key").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -153,6 +153,17 @@ def test_short_repeats_and_blocks(spark, monkeypatch, most, block):
     assert sorted(got, key=repr) == brute_repeats(rows, 40)
 
 
+def test_hot_anchor_is_split(spark):
+    """One line in all texts, with neighbours that differ or agree by groups: every width gives the same."""
+    line = "this very line stands in every one of these texts"
+    rows = [(i, f"{'left' * (i % 3)} {i % 7} {i // 7} {line} {i % 5} {'right' * (i % 4)} {i // 5} and more of it to the end {i % 2}") for i in range(150)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    want = brute_repeats(rows, 60)
+    for most in (3, 20, 20_000):
+        got = [(r["key"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in repeats.cleaned(df, 60, most).collect()]
+        assert sorted(got, key=repr) == want
+
+
 def test_maximal_repeat_groups_hold_all_occurrences():
     before = [b"cba", b"cbx", b"czz", b"qqq"]
     after = [b"GRAM12345", b"GRAM12399", b"GRAM1z", b"GRAM12377"]
