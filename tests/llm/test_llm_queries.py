@@ -280,7 +280,7 @@ def test_targets_and_apportionment():
     assert mixing.targets([0, 0], [5, 2]) == [0.0, 0.0] and mixing.targets([], []) == []
     rng = np.random.default_rng(2)
     for _ in range(50):
-        v = rng.integers(1, 1000, rng.integers(1, 8)).tolist()
+        v = rng.integers(1, 1000, rng.integers(1, 80)).tolist() + [20_000] * int(rng.integers(0, 2))
         seats = int(rng.integers(0, 200))
         won = [0] * len(v)
         for _ in range(seats):
@@ -304,6 +304,22 @@ def test_mix_meets_its_targets(spark):
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(d.doc_id, d.taken))
 
 
+def test_mix_of_many_cells_equals_sql(spark):
+    """Sources of several cells: the same SQL with the same cells."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    got = mixing.taken(mixing.quotas(docs, cell_rows=40)).select("doc_id", "size", "source_size", "target", "taken")
+    assert_same(got, mixing.mixing_sql(cell_rows=40))
+    # Groups of cells move a block or two between cells, never words between sources.
+    two = mixing.taken(mixing.quotas(docs, cell_rows=40, groups=3)).groupBy("source").agg({"taken": "sum"}).collect()
+    one = mixing.taken(mixing.quotas(docs, cell_rows=40)).groupBy("source").agg({"taken": "sum"}).collect()
+    assert all(abs(dict(two)[k] - v) <= 16 * 40 for k, v in dict(one).items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    assert con.sql(mixing.mixing_sql()).fetchall() == []
+
+
 def test_mixed_rows_hold_the_taken_words(spark, odd):
     out = mixing.mixed(odd)
     taken = mixing.taken(mixing.quotas(odd)).toPandas()
@@ -468,6 +484,18 @@ def test_sharding_moves_rows_only_into_a_new_shard(spark):
     assert all(zlib.crc32(texts[i].encode()) == c and len(texts[i].encode()) + 1 == n for i, c, n in zip(d.doc_id, d.text_crc32, d["size"]))
 
 
+def test_shards_equal_the_highest_scores(spark):
+    """Every shard and every grown shard, computed again from the MD5 of key and shard."""
+    import math
+
+    def best(key, n):
+        u = lambda i: (int(hashlib.md5(f"{i}|={key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return max(range(n), key=lambda i: (-1 / math.log(u(i)), -i))
+
+    for r in sharding.op10_sharding(spark, SF).collect():
+        assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], 8), best(r["doc_id"], 9))
+
+
 def test_weighted_shards_and_groups(spark):
     d = sharding.assign(spark.range(20_000).withColumnRenamed("id", "k"), "k", [1.0, 3.0])
     n = {r["shard"]: r["count"] for r in d.groupBy("shard").count().collect()}
