@@ -21,11 +21,15 @@ GROUP_ROWS = 200_000
 
 
 def rendezvous(key, weights: Sequence[float]) -> F.Column:
-    """Shard of a key column under weighted rendezvous hashing; null keys hash as one key."""
+    """Shard of a key column under weighted rendezvous hashing; null keys hash as one key.
+
+    The uniform number of (key, shard) is the first 52 bits of their MD5, so any engine can
+    find a record's shard again; ties go to the lower shard.
+    """
     best = []
     for shard, weight in enumerate(weights):
-        h = F.xxhash64(F.lit("rendezvous"), F.lit(shard), F.coalesce(key.cast("string"), F.lit("\0null")))
-        u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        h = F.md5(F.concat(F.lit(f"{shard}|"), F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))))
+        u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
         best.append(F.struct((F.lit(-float(weight)) / F.log(u)).alias("score"), F.lit(-shard).alias("first")))
     top = F.greatest(*best) if len(best) > 1 else best[0]
     return (-top["first"]).cast("int")
@@ -46,11 +50,9 @@ def numbered(df: DataFrame, shard: str, order: Sequence[str], group_rows: int =
     then numbers the rows of one group.  ``df`` is written first, so both passes see the
     same groups.
     """
-    n = df.count()
-    groups = max(1, -(-n // group_rows))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64))
-    g = F.pmod(F.xxhash64(*[F.col(c) for c in order], salt), F.lit(groups)).cast("int")
-    df = materialize(df.withColumn("__group", g), "slots")
+    df = materialize(df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(64))), "slots")
+    groups = max(1, -(-df.count() // group_rows))
+    df = df.withColumn("__group", F.pmod(F.xxhash64(*[F.col(c) for c in order], "__salt"), F.lit(groups)).cast("int")).drop("__salt")
     sizes = df.groupBy(shard, "__group").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(shard).orderBy("__group").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(shard, "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
