@@ -1,17 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut where a rolling hash of its last bytes says so, at white space only, so
-equal passages give equal chunks wherever they stand.  A task encodes each distinct chunk
-once and keeps it.  Two neighbours agree if the units beside their join encode together as
-they do apart; where they don't, the chunks are joined and encoded again until they do.
-
-A chunk itself is put together from units, white-space separated pieces that the tokenizer
-can never merge across; each distinct unit is encoded by the tokenizer once.
+A text is cut where a rolling hash of its last bytes says so, so equal passages give equal
+chunks wherever they stand.  A task encodes each distinct chunk once and keeps it, for all
+its documents.  A chunk is put together from units, white-space separated pieces that the
+tokenizer can never merge across; each distinct unit is encoded by the tokenizer once.
+
+A cut may fall inside a unit: what stands at a chunk's ends then is not encoded with it.
+Joining two chunks encodes the unit across the join anew, from as many chunks as it takes
+until white space ends it, so that the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import sys
 from array import array
@@ -26,16 +28,21 @@ from .common import per_batch, random64, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees, and the mean distance of its cuts.
-WINDOW, MEAN_CHUNK = 16, 2048
-#: Bounds of a task's memory: kept units and chunks are dropped beyond them, and encoded anew if met again.
-MAX_UNITS, MAX_CHUNK_BYTES = 400_000, 8 << 20
+WINDOW, MEAN_CHUNK = 16, 512
+#: Bounds of a task's memory, for each of two generations of units and chunks: what is in use moves to the newer one.
+MAX_UNITS, MAX_CHUNK_BYTES = 400_000, 32 << 20
+#: Longer units (texts without white space) are encoded each time.
+MAX_UNIT_BYTES = 64
 
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # ASCII without the apostrophe falls apart into letter runs, single digits and runs of the rest.
 _ASCII = re.compile(rb"[!-&(-~]+")
 _PIECES = re.compile(rb"[a-z]+|[0-9]|[!-&(-/:-`{-~]+")
-# Lead bytes of code points from U+0300 on: combining marks may be among them.
-_MARKS = re.compile(rb"[\xcc-\xff]")
+# A capital before what may be a mark: NFC may join the two otherwise than the small letter.
+_COMPOSED = re.compile(rb"[A-Z][\xcc-\xff]")
+# How the tokenizer must treat text for white space to part its tokens.
+FITS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_WHITE = b" \t\n\v\f\r"
 _GEAR = random64(256, 5)
 
 
@@ -46,8 +53,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def cut_points(data: np.ndarray, window: int = WINDOW, mean: int = MEAN_CHUNK) -> np.ndarray:
-    """Places after a white-space byte where the rolling hash of the ``window`` (a power of
-    two) bytes before is 0 modulo ``mean`` / 6: about every sixth byte is white space."""
+    """Places where the rolling hash of the ``window`` bytes before (a power of two, like ``mean``)
+    is 0 modulo ``mean``."""
     if len(data) < window:
         return np.zeros(0, np.int64)
     h = _GEAR[data]
@@ -56,12 +63,7 @@ def cut_points(data: np.ndarray, window: int = WINDOW, mean: int = MEAN_CHUNK) -
         h = h[:-step] * np.uint64(factor) + h[step:]
         factor = factor * factor % 2**64
         step *= 2
-    end = np.arange(window, len(data) + 1)
-    last = data[window - 1 :]
-    blank = (last == 32) | ((last >= 9) & (last <= 13))
-    at = np.flatnonzero(blank)
-    hit = ((h[at] >> np.uint64(33)) % np.uint64(max(1, mean // 6))) == 0
-    return end[at[hit]]
+    return np.flatnonzero((h >> np.uint64(33)) & np.uint64(mean - 1) == 0) + window
 
 
 class _Units(dict):
@@ -96,7 +98,8 @@ class _Units(dict):
             else:
                 ids = self.tok.encode(unit.decode(), add_special_tokens=False).ids
             out = packed(ids)
-        self[unit] = out
+        if len(unit) <= MAX_UNIT_BYTES:
+            self[unit] = out
         return out
 
     def trim(self) -> None:
@@ -137,6 +140,11 @@ class Codec:
         tok = Tokenizer.from_file(path)
         tok.no_padding()
         tok.no_truncation()
+        parts = json.loads(tok.to_str())
+        steps = lambda x, of: [y["type"] for y in x[of]] if x and of in x else []
+        kinds = steps(parts["normalizer"], "normalizers"), steps(parts["pre_tokenizer"], "pretokenizers")
+        if kinds != FITS or parts["pre_tokenizer"]["pretokenizers"][0]["behavior"] != "Removed" or parts["post_processor"]:
+            raise ValueError(f"{path}: white space does not part this tokenizer's tokens")
         self.tok = tok
         self.units = _Units(tok)
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in tok.get_added_tokens_decoder().values()) or rb"(?!)")
@@ -145,8 +153,10 @@ class Codec:
         for t, i in vocab.items():
             self.text[i] = b" " + t.encode()
         self.chunks: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
         self.kept = 0
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        #: Chunks read, and those that were met before.
+        self.seen = self.reused = 0
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text with one blank before: the file has no decoder, so tokens
@@ -156,39 +166,51 @@ class Codec:
     def whole(self, data: bytes) -> bytes:
         return packed(self.tok.encode(data.decode(), add_special_tokens=False).ids)
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes]:
-        """(ids, first unit, last unit) of a chunk, from the kept ones if it was met."""
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
+        """(bytes before the first white space, ids of the units inside, bytes after the last one);
+        no ids without white space.  Kept chunks are not encoded again."""
+        self.seen += 1
         got = self.chunks.get(chunk)
         if got is None:
-            units = chunk.split()
-            self.units.trim()
-            ids = b"".join(map(self.units.__getitem__, units))
-            got = (ids, units[0], units[-1]) if units else (b"", b"", b"")
+            got = self.older.get(chunk)
+            if got is None:
+                got = self._new_chunk(chunk)
+            else:
+                self.reused += 1
             if self.kept > MAX_CHUNK_BYTES:
-                self.chunks.clear()
-                self.kept = 0
+                self.older, self.chunks, self.kept = self.chunks, {}, 0
             self.chunks[chunk] = got
-            self.kept += len(chunk) + len(ids)
+            self.kept += len(chunk) + sum(map(len, filter(None, got)))
+        else:
+            self.reused += 1
         return got
 
-    def _agree(self, left: bytes, right: bytes) -> bool:
-        """Whether the units beside a join encode together as they do apart."""
-        if not left or not right:
-            return True
-        if (left, right) not in self.joins:
-            if len(self.joins) > 100_000:
-                self.joins.clear()
-            self.joins[left, right] = self.whole(left + b" " + right) == self.units[left] + self.units[right]
-        return self.joins[left, right]
+    def _new_chunk(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
+        units = chunk.split()
+        self.units.trim()
+        if not units:
+            return (b"", b"", b"") if chunk else (b"", None, b"")
+        head = b"" if chunk[0] in _WHITE else units.pop(0)
+        if len(head) == len(chunk):
+            return head, None, b""
+        tail = b"" if chunk[-1] in _WHITE else units.pop()
+        return head, b"".join(map(self.units.__getitem__, units)), tail
 
     def encode(self, data: bytes, cuts: Iterable[int]) -> bytes:
         """Ids of one text, as little-endian uint32, from the chunks between its cuts."""
-        ids, last, lo = [], b"", 0
+        ids, across, lo = [], b"", 0
         for hi in (*cuts, len(data)):
-            own, first, end = self._chunk(data[lo:hi])
-            # Repair: where a join disagrees, all so far and this chunk are one text again.
-            ids = [*ids, own] if self._agree(last, first) else [self.whole(data[:hi])]
-            last, lo = end or last, hi
+            head, inner, tail = self._chunk(data[lo:hi])
+            across += head
+            if inner is not None:
+                # The unit across the join is encoded as one, whatever its parts would give apart.
+                if across:
+                    ids.append(self.units[across])
+                ids.append(inner)
+                across = tail
+            lo = hi
+        if across:
+            ids.append(self.units[across])
         return b"".join(ids)
 
     def encode_batch(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
@@ -201,12 +223,12 @@ class Codec:
             moved = offs + np.searchsorted(blanks, offs)
             cuts_at = cuts + np.searchsorted(blanks, cuts)
             low = low.tobytes()
-            odd = bool(_MARKS.search(raw)) or bool(self.special.search(raw))
+            odd = bool(self.special.search(low)) or bool(_COMPOSED.search(raw))
             for r in range(hi - lo):
                 if odd:
                     text = raw[offs[r] : offs[r + 1]]
-                    if _MARKS.search(text) or self.special.search(text):
-                        # Only here could a cut text differ from the whole one.
+                    if self.special.search(text.lower()) or _COMPOSED.search(text):
+                        # Special tokens and marks on capitals count in their own case.
                         yield lo + r, self.whole(text)
                         continue
                 a, b = int(moved[r]), int(moved[r + 1])

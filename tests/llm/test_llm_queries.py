@@ -191,7 +191,7 @@ def test_encoder_equals_the_tokenizer(spark, odd, tokenizer):
     assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in rows) == want
 
 
-ODD_TEXTS = ["", "  ", "a<|endoftext|>b c", "H̱ello é ́x", "don't  WE'LL it's 'sabc x'y.", "İstanbul ΣΑΣ. Ω, ä, É. ÀÉ.", "日本語 テキスト。これは, test. 안녕", "a\x00b\x1fc\x85d e.\x85f", "!!, a). b\". c'. d-, e. . , f", "ﬁ ½ ² ³. ª. º, µ.", "ß. ẞ, ŉ. ǆ, ǅ. ÿ, Ÿ."]
+ODD_TEXTS = ["", "  ", "a<|endoftext|>b c", "<|ENDOFTEXT|>\u00e9 x", "H\u0331ello \u00e9 \u0301x", "a \u0301 e\u0301. \u0301.", "don't  WE'LL it's 'sabc x'y.", "\u0130stanbul \u03a3\u0391\u03a3. \u03a9, \u00e4, \u00c9. \u00c0\u00c9.", "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8\u3002\u3053\u308c\u306f, test. \uc548\ub155 \u1112\u1161\u11ab", "a\x00b\x1fc\x85d e.\x85f", "!!, a). b\". c'. d-, e. . , f", "\ufb01 \u00bd \u00b2 \u00b3. \u00aa. \u00ba, \u00b5.", "\u00df. \u1e9e, \u0149. \u01c6, \u01c5. \u00ff, \u0178.", "\u201cquoted\u201d \u2013 dash\u2026 \u20ac5 \U0001f600", "\u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440. \u0391\u03b2\u03b3 \u05e9\u05dc\u05d5\u05dd \u0939\u093f\u0928\u094d\u0926\u0940.\u3000x\u2003y\u00a0z"]
 
 
 def test_odd_texts_encode_exactly(tokenizer):
@@ -207,13 +207,49 @@ def test_units_are_bounded_and_still_exact(spark, tokenizer, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(bpe, "MAX_UNITS", 50)
-    monkeypatch.setattr(bpe, "MAX_CHUNK_BYTES", 1000)
+    monkeypatch.setattr(bpe, "MAX_CHUNK_BYTES", 3000)
     c = bpe.Codec(bpe.tokenizer_path())
     texts = [t for _, t in documents(spark)[:50]]
     for row, ids in c.encode_batch(pa.array(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(texts[row], add_special_tokens=False).ids
 
 
+def test_joins_are_repaired(spark, tokenizer, monkeypatch):
+    """Cuts inside words: parts encode otherwise than the whole, joins give the whole's ids, also over many chunks."""
+    import pyarrow as pa
+
+    c = bpe.Codec(bpe.tokenizer_path())
+    whole = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    text = "tokenization of internationalization, \u65e5\u672c\u8a9e\u30c6\u30ad\u30b9\u30c8 and \u00e9t\u00e9."
+    data, differ = text.encode(), 0
+    for step in (1, 2, 3, 7, 11):
+        cuts = list(range(step, len(data), step))
+        assert np.frombuffer(c.encode(data, cuts), "<u4").tolist() == whole(text)
+    for at in range(1, 30):
+        differ += whole(text[:at]) + whole(text[at:]) != whole(text)
+    assert differ > 10
+    monkeypatch.setattr(bpe, "cut_points", lambda d: np.arange(3, len(d), 3))
+    texts = [t for _, t in documents(spark)[:20]] + [t for t in ODD_TEXTS]
+    for row, ids in bpe.Codec(bpe.tokenizer_path()).encode_batch(pa.array(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(texts[row])
+
+
+def test_chunks_are_reused_across_documents(spark):
+    import pyarrow as pa
+
+    passage = " ".join(t for _, t in documents(spark)[:12])
+    texts = [f"{'x' * k} own words {k} {passage} end {k}" for k in range(20)]
+    c = bpe.Codec(bpe.tokenizer_path())
+    for _ in c.encode_batch(pa.array(texts)):
+        pass
+    assert c.reused > 0.85 * c.seen
+
+
+def test_tokenizers_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_chunks_are_cut_by_content():
     text = np.frombuffer(("lorem ipsum dolor sit amet consectetur " * 400).encode() + b"unique tail here " * 300, np.uint8)
     a = bpe.cut_points(text, mean=128)
