@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Tables written in the scopes that are open now, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what was materialized within, but for what was to be kept: for steps whose
+    result is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and a lost
-    executor costs only the tasks that it ran."""
+    executor costs only the tasks that it ran.  ``keep`` outlives the scope around it, and
+    falls to the scope around that."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
+    at = -2 if keep else -1
+    if len(_scopes) >= -at:
+        _scopes[at].append(out)
     return out
 
 
@@ -77,19 +98,20 @@ def n_words(text) -> F.Column:
 BROADCAST_ROWS = 400_000
 
 
-def _checked(keys: DataFrame) -> DataFrame:
+def checked(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they were counted to be few."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(keys) if few else keys
 
 
 def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``keys``, which are broadcast if they are few."""
-    return df.join(_checked(keys), on, "left_semi")
+    return df.join(checked(keys), on, "left_semi")
 
 
 def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not among ``keys``."""
-    return df.join(_checked(keys), on, "left_anti")
+    return df.join(checked(keys), on, "left_anti")
 
 
 def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _checked, materialize, mix64, only, per_batch, random64, slices, table, word_hashes
+from .common import checked, materialize, mix64, only, per_batch, random64, scratch, slices, table, word_hashes
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8**6)**48 < 1e-6.
 BANDS, ROWS = 48, 6
@@ -114,30 +114,29 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return per_batch(docs, run, "doc_id long, own long, n long, set1 long, set2 long, bands array<long>, sketch array<long>")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node of the links (a, b) reaches.
 
     Labels spread over links and then along themselves until nothing changes; every step
-    is a join and a partially aggregated minimum.
+    is a join and a partially aggregated minimum.  Labels only fall, so the steps end.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
-    labels = materialize(labels, "labels")
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("new"))
-        # What the own root has learnt holds for the node as well.
-        step = materialize(step, "labels")
-        root = step.where("new < comp").groupBy(F.col("comp").alias("r")).agg(F.min("new").alias("low"))
-        jump = step.join(root, step["comp"] == root["r"], "left").select("node", "comp", F.least("new", F.coalesce("low", "new")).alias("new"))
-        at = jump.select(F.col("node").alias("r"), F.col("new").alias("further")).where("r <> further")
-        jump = jump.join(at, jump["new"] == at["r"], "left").select("node", "comp", F.least("new", F.coalesce("further", "new")).alias("new"))
-        jump = materialize(jump, "labels")
-        done = jump.where("new <> comp").isEmpty()
-        labels = jump.select("node", F.col("new").alias("comp"))
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+    with scratch():
+        both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
+        labels = materialize(labels, "labels")
+        while True:
+            near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+            step = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("new"))
+            # What the own root has learnt holds for the node as well.
+            step = materialize(step, "labels")
+            root = step.where("new < comp").groupBy(F.col("comp").alias("r")).agg(F.min("new").alias("low"))
+            jump = step.join(root, step["comp"] == root["r"], "left").select("node", "comp", F.least("new", F.coalesce("low", "new")).alias("new"))
+            at = jump.select(F.col("node").alias("r"), F.col("new").alias("further")).where("r <> further")
+            jump = jump.join(at, jump["new"] == at["r"], "left").select("node", "comp", F.least("new", F.coalesce("further", "new")).alias("new"))
+            jump = materialize(jump, "labels")
+            labels = jump.select("node", F.col("new").alias("comp"))
+            if jump.where("new <> comp").isEmpty():
+                return materialize(labels, "components", keep=True)
 
 
 #: Odd bits of two sketches up to which their estimate of the similarity leaves the threshold possible.
@@ -291,44 +290,46 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
     small = materialize(only(sigs.select("doc_id", "n", "sketch"), used, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
     spark = docs.sparkSession
-    comp = spark.createDataFrame([], "node long, comp long")
-    links = spark.createDataFrame([], "a long, b long")
-    open_ = members.withColumn("comp", F.col("doc_id"))
-    tested = spark.createDataFrame([], "a long, b long")
-    for k in range(rounds + 1):
-        if k < rounds:
-            # Weight: how many members a document meets over all its open buckets.
-            met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
-            weights = open_.join(met, "key").groupBy("doc_id").agg(F.sum("others").alias("w"))
-            weighed = materialize(open_.join(weights, "doc_id"), "weighed")
-            lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc_id").alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
-            pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp")
-            pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
-        else:
-            left = open_.select("doc_id").distinct()
-            pairs = block_pairs(open_, small, materialize(fine_sketches(only(texts, left, "doc_id"), width), "fine"))
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        likely = materialize(sifted(pairs, small), "sifted") if k < rounds else pairs
-        found = materialize(confirmed(likely, texts, width), "found")
-        fresh = not found.isEmpty()
-        if fresh:
-            links = links.union(found)
-            comp = components(links)
-        if k == rounds:
-            break
-        # The leader's pairs are settled; members that its component holds need no pair among themselves.
-        rest = open_.join(lead, "key").where("doc_id <> lead.doc_id").select("key", "doc_id", "n")
-        rest = rest.join(comp, rest["doc_id"] == comp["node"], "left").select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
-        rest = materialize(rest, "open")
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = materialize(rest.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
+    with scratch():
+        comp = spark.createDataFrame([], "node long, comp long")
+        links = spark.createDataFrame([], "a long, b long")
+        open_ = members.withColumn("comp", F.col("doc_id"))
+        tested = spark.createDataFrame([], "a long, b long")
+        for k in range(rounds + 1):
+            if k < rounds:
+                # Weight: how many members a document meets over all its open buckets.
+                met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+                weights = open_.join(met, "key").groupBy("doc_id").agg(F.sum("others").alias("w"))
+                weighed = materialize(open_.join(weights, "doc_id"), "weighed")
+                lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc_id").alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
+                pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp")
+                pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
+            else:
+                left = open_.select("doc_id").distinct()
+                pairs = block_pairs(open_, small, materialize(fine_sketches(only(texts, left, "doc_id"), width), "fine"))
+            pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(pairs)
+            likely = materialize(sifted(pairs, small), "sifted") if k < rounds else pairs
+            found = materialize(confirmed(likely, texts, width), "found")
+            fresh = not found.isEmpty()
+            if fresh:
+                links = links.union(found)
+                comp = components(links)
+            if k == rounds:
+                break
+            # The leader's pairs are settled; members that its component holds need no pair among themselves.
+            rest = open_.join(lead, "key").where("doc_id <> lead.doc_id").select("key", "doc_id", "n")
+            rest = rest.join(comp, rest["doc_id"] == comp["node"], "left").select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+            rest = materialize(rest, "open")
+            mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            open_ = materialize(rest.join(mixed, "key", "left_semi"), "open")
+            if open_.isEmpty():
+                break
+        comp = materialize(comp, "components", keep=True)
 
     # A component's kept row is the first one of its classes.
     firsts = classes.join(comp, classes["rep"] == comp["node"]).groupBy("comp").agg(F.min("first").alias("lowest"))
-    lowest = comp.join(_checked(materialize(firsts, "firsts")), "comp").select("node", "lowest")
+    lowest = comp.join(checked(materialize(firsts, "firsts")), "comp").select("node", "lowest")
     classes = classes.join(lowest, classes["rep"] == lowest["node"], "left").select("set1", "set2", F.col("n").alias("cn"), F.coalesce("lowest", "first").alias("first"))
     out = sigs.select("doc_id", "own", "row", "n", "set1", "set2")
     linked = out.where("n > 0").join(classes, (out["set1"] == classes["set1"]) & (out["set2"] == classes["set2"]) & (out["n"] == classes["cn"]), "left")
@@ -338,5 +339,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near duplicates on 4-word shingles; one row of each, of the smallest doc_id, is kept."""
+    """Components of near duplicates on 4-word shingles; one row of each, of the smallest doc_id, is kept.
+
+    Null, empty and blank texts link with nothing and are kept; rows that repeat a doc_id or lack
+    one are documents of their own; an empty table gives no rows.  Extra columns are not read.
+    """
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import discard, materialize, mix64, only, per_batch, random64, table, without
+from .common import materialize, mix64, only, per_batch, random64, scratch, table, without
 
 LENGTH, GRAM = 200, 32
 #: Distinct contexts that one suffix array takes; wider anchors are split.
@@ -206,7 +206,6 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
     # engine splits.  Anchors that occur again are a share of all at any size: both sides are shuffled.
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
     met = materialize(every.join(materialize(again, "again"), "anchor", "left_semi"), "met")
-    discard(every)
     ctx = met.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("rep"))
     ctx = materialize(ctx, "contexts")
     # Full: the whole context occurs again.  Open: it meets other contexts of its anchor.
@@ -343,8 +342,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTE
     ``length`` bytes or more remove each other.
     """
     packed = materialize(pack(docs), "packed")
-    runs = repeated_windows(packed, length, max_contexts)
-    runs = materialize(runs.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    with scratch():
+        runs = repeated_windows(packed, length, max_contexts)
+        runs = materialize(runs.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs", keep=True)
     hit = runs.select("row")
     # Only texts that lose something meet their runs.
     touched = only(packed, hit, "row").join(runs, "row").select("key", "packed", "runs")

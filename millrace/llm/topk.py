@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 
 TOP = 5
 PARTS = 2
@@ -181,7 +181,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, parts: int = P
             if some.num_rows:
                 column = lambda c: some.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
                 m = _matrix(some.column("v").combine_chunks())
-                out = out.unionByName(materialize(_search(here, nodes, column("row"), column("vec_id"), m, top, len(cuts)), "topk-found"))
+                with scratch():
+                    found = _search(here, nodes, column("row"), column("vec_id"), m, top, len(cuts))
+                    out = out.unionByName(materialize(found, "topk-found", keep=True))
     return out
 
 
