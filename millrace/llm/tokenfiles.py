@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import codec, tokenizer_path
-from .common import new_path, per_batch, table
+from .common import checked, materialize, new_path, per_batch, table
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -30,13 +30,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, encoding: str
     ``encoding`` is "delta" (data page version 2, ids as DELTA_BINARY_PACKED) or
     "dictionary".  Texts, the smaller side, are what moves to their range of doc_ids;
     encoding follows in place.  Null texts are empty, null doc_ids come first, equal
-    doc_ids stand in the order of their texts.
+    doc_ids stand in the order of their texts' hashes, over all files.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"unknown encoding {encoding!r}")
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         at, file = 0, None
@@ -76,13 +76,14 @@ def read_tokens(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """The files' rows with ``start``: ids of all documents before, over all files.
 
     The start within a file is stored; one row for each file gives what the files before
-    hold, from metadata columns alone.
+    hold, from two metadata columns alone.  These rows, as many as files, are written, counted
+    and then broadcast, so no row with ids moves.  An empty table gives no rows.
     """
     rows = spark.read.schema(_SCHEMA).parquet(path)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    out = rows.join(files, "file").withColumn("start", F.col("first") + F.col("start_in_file"))
+    out = rows.join(checked(materialize(files, "token-files")), "file").withColumn("start", F.col("first") + F.col("start_in_file"))
     return out.select("doc_id", "start", "n_tokens", *columns)
 
 
@@ -102,7 +103,11 @@ def with_crc32(rows: DataFrame, ids: str = "ids", into: str = "ids_crc32") -> Da
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all documents' ids to the shared folder, reads them back and digests them."""
+    """Writes all documents' ids to the shared folder, reads them back and digests them.
+
+    Null and empty texts hold the end id alone; null doc_ids stand first; repeated rows get a
+    row and a start each.  An empty table gives no rows; extra columns are not read.
+    """
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return with_crc32(read_tokens(spark, path, "ids"))
