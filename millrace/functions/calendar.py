@@ -67,12 +67,14 @@ def holidays(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR
 def holiday_features(df: DataFrame, spec: PanelSpec = SPEC, include_name: bool = False) -> DataFrame:
     """``is_holiday_de`` (0 for null dates) and, if asked for, ``holiday_name``.
 
-    Years before 1995 had other holidays and are out of scope.
+    Dates before 1995, when other rules held, and beyond the dimension's last year have null.
     """
     h = holidays(df.sparkSession).select(F.col("date").alias("__day"), F.col("holiday_name").alias("__name"))
     d = coerce_time(df, spec.time_col)
-    d = d.join(F.broadcast(h), F.col(spec.time_col).cast("date") == F.col("__day"), "left")
-    d = d.withColumn("is_holiday_de", F.col("__day").isNotNull().cast("byte"))
+    day = F.col(spec.time_col).cast("date")
+    d = d.join(F.broadcast(h), day == F.col("__day"), "left")
+    known = day.isNull() | F.year(day).between(FIRST_YEAR, LAST_YEAR)
+    d = d.withColumn("is_holiday_de", F.when(known, F.col("__day").isNotNull().cast("byte")))
     if include_name:
         d = d.withColumn("holiday_name", F.col("__name"))
     return d.drop("__day", "__name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SPEC, PanelSpec, coerce_time, dimension, require
@@ -16,15 +16,16 @@ def year_means(df: DataFrame, spec: PanelSpec = SPEC, by: str = "country", into:
 
 
 def level_factors(df: DataFrame, reference_year: int, spec: PanelSpec = SPEC, by: str = "country") -> DataFrame:
-    """factor = mean of the reference year / mean of the year.
+    """factor = mean of the reference year / mean of the year; 1 for the reference year, and where
+    either mean is missing or the year's mean is 0.
 
-    1 for the reference year, and where either mean is missing or the year's mean is 0.
+    One pass over the facts; the reference mean reaches the other years over the grouped rows.
     """
     means = year_means(df, spec, by)
-    ref = means.where(F.col("year") == reference_year).select(by, F.col("mean").alias("ref"))
-    ratio = F.coalesce(F.try_divide("ref", "mean"), F.lit(1.0))
-    factor = F.when(F.col("year") == reference_year, 1.0).otherwise(ratio)
-    return means.join(ref, by, "left").select(by, "year", factor.alias("factor"))
+    is_ref = F.col("year") == reference_year
+    ref = F.max(F.when(is_ref, F.col("mean"))).over(Window.partitionBy(by))
+    ratio = F.coalesce(F.try_divide(ref, "mean"), F.lit(1.0))
+    return means.select(by, "year", F.when(is_ref, 1.0).otherwise(ratio).alias("factor"))
 
 
 def align(df: DataFrame, reference_year: int, spec: PanelSpec = SPEC, by: str = "country") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..spec import SPEC, PanelSpec
+from ..spec import SPEC, PanelSpec, dimension, require_rows
 
 
 def total(c: str) -> Column:
@@ -48,13 +48,17 @@ def daily_before_after(before: DataFrame, after: DataFrame, year: int, spec: Pan
     return one(before, "aligned").unionByName(one(after, "cleaned"))
 
 
-def differences(before: DataFrame, after: DataFrame, spec: PanelSpec = SPEC, year: int | None = None) -> DataFrame:
-    """Rows of both tables by time and series: target before, after and diff (after - before)."""
+def differences(before: DataFrame, after: DataFrame, spec: PanelSpec = SPEC, year: int | None = None, check: bool = False) -> DataFrame:
+    """Rows of both tables by time and series: target before, after and diff (after - before).
+
+    ``check`` makes tables without a common row a ValueError.
+    """
     keys, y = [spec.time_col, *spec.id_cols], spec.target_col
     a, b = (in_year(d, year, spec) if year is not None else d for d in (before, after))
     a = a.select(*keys, F.col(y).alias("before"))
     b = b.select(*keys, F.col(y).alias("after"))
-    return a.join(b, keys).withColumn("diff", F.col("after") - F.col("before"))
+    both = a.join(b, keys).withColumn("diff", F.col("after") - F.col("before"))
+    return require_rows(both, "the tables have no time and series in common") if check else both
 
 
 def change_by_series(diff: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
@@ -68,9 +72,9 @@ def most_changed(diff: DataFrame, k: int = 1, spec: PanelSpec = SPEC) -> DataFra
 
 
 def series_rows(df: DataFrame, keys: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
-    """Rows of the series in ``keys`` (a few), in time order."""
+    """Rows of the series in ``keys``, in time order; keys are broadcast once counted to be few."""
     ids = list(spec.id_cols)
-    return df.join(F.broadcast(keys.select(*ids)), ids, "left_semi").orderBy(spec.time_col, *ids)
+    return df.join(dimension(keys.select(*ids)), ids, "left_semi").orderBy(spec.time_col, *ids)
 
 
 def one_series(df: DataFrame, ids: dict) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import SPEC, PanelSpec, require, to_float32
+from ..spec import SPEC, PanelSpec, dimension, require
+from .split import softplus_inverse
 
 # Calendar columns that are known in advance, in a fixed order.
 CALENDAR_COLS = ("year", "month", "day", "dayofweek", "weekofyear", "is_weekend")
@@ -47,28 +48,43 @@ def feature_roles(df: DataFrame, spec: PanelSpec = SPEC, known_prefixes: Sequenc
     return FeatureRoles([c for c in spec.id_cols if c in df.columns], known, unknown)
 
 
-def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str] = ("split",), encoder: int = ENCODER, decoder: int = DECODER, time_idx: str = "time_idx", stride: int = 1) -> DataFrame:
+def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str] = ("split",), encoder: int = ENCODER, decoder: int = DECODER, time_idx: str = "time_idx", stride: int = 1, roles: FeatureRoles | None = None) -> DataFrame:
     """Sliding samples of ``encoder`` past and ``decoder`` future targets for each series.
 
     One row for each sample: ``within`` and id columns, the time index of the first future
-    step, encoder and decoder arrays.  A sample's indexes are consecutive and lie in one part
-    (``within``); a missing target leaves no sample.  ``stride`` keeps every so many indexes.
+    step, encoder and decoder arrays.  With ``roles``, encoder_{c} of every known and unknown real and
+    decoder_{c} of every known one stand beside them, missing values as null.  A sample's
+    indexes are consecutive and lie in one part (``within``); a missing target leaves no sample.
+    ``stride`` keeps every so many indexes.
     """
-    keys = [*within, *spec.id_cols]
-    require(df, (*keys, time_idx, spec.target_col))
-    rows = to_float32(df.select(*keys, time_idx, spec.target_col), spec.target_col)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(F.col(time_idx).asc_nulls_last())
+    keys, y = [*within, *spec.id_cols], spec.target_col
+    known = [c for c in (roles.known_reals if roles else []) if c != y]
+    reals = known + [c for c in (roles.unknown_reals if roles else []) if c != y]
+    require(df, (*keys, time_idx, y, *reals))
+    # Names of their own: a role may be an id or the time index as well.
+    fields = {"target": y} | {c: c for c in dict.fromkeys(reals)}
+    value = lambda c: F.col(fields[c]).try_cast("float").alias(c)
+    rows = df.select(*keys, F.col(time_idx).alias("__at"), F.struct(value("target"), *[value(c) for c in dict.fromkeys(known)]).alias("__next"), F.struct(*[value(c) for c in fields]).alias("__row"))
+    w = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_last())
     past, future, whole = w.rowsBetween(-(encoder - 1), 0), w.rowsBetween(1, decoder), w.rowsBetween(-(encoder - 1), decoder)
     d = rows.select(
-        *keys, (F.col(time_idx) + 1).alias(time_idx),
-        F.collect_list(spec.target_col).over(past).alias("encoder"),
-        F.collect_list(spec.target_col).over(future).alias("decoder"),
-        (F.max(time_idx).over(whole) - F.min(time_idx).over(whole)).alias("__span"),
-        F.count(time_idx).over(whole).alias("__n"),
+        *keys, (F.col("__at") + 1).alias(time_idx),
+        F.collect_list("__row").over(past).alias("__enc"), F.collect_list("__next").over(future).alias("__dec"),
+        (F.max("__at").over(whole) - F.min("__at").over(whole)).alias("__span"),
+        F.count("__at").over(whole).alias("__n"), F.count("__row.target").over(whole).alias("__set"),
     )
     n = encoder + decoder
-    good = (F.size("encoder") == encoder) & (F.size("decoder") == decoder) & (F.col("__span") == n - 1) & (F.col("__n") == n)
-    d = d.where(good & spec.has_key())
-    return (d.where(F.col(time_idx) % stride == 0) if stride > 1 else d).drop("__span", "__n")
+    d = d.where((F.col("__n") == n) & (F.col("__set") == n) & (F.col("__span") == n - 1) & spec.has_key())
+    if stride > 1:
+        d = d.where(F.col(time_idx) % stride == 0)
+    arrays = [F.col("__enc.target").alias("encoder"), F.col("__dec.target").alias("decoder")]
+    arrays += [F.col("__enc")[c].alias(f"encoder_{c}") for c in dict.fromkeys(reals)] + [F.col("__dec")[c].alias(f"decoder_{c}") for c in dict.fromkeys(known)]
+    return d.select(*keys, time_idx, *arrays)
+
+
+def normalize_samples(samples: DataFrame, normalizer: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
+    """``samples`` with center and scale of their series (``split.series_normalizer``) and the targets
+    under them: encoder and decoder become (z(y) - center) / scale, null where any of these is."""
+    d = samples.join(dimension(normalizer.select(*spec.id_cols, "center", "scale")), list(spec.id_cols), "left")
+    scaled = lambda c: F.transform(c, lambda y: F.try_divide(softplus_inverse(y.cast("double")) - F.col("center"), F.col("scale")))
+    return d.withColumns({c: scaled(c) for c in ("encoder", "decoder")})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import SPEC, PanelSpec, dimension, require
@@ -17,8 +18,7 @@ def boundaries(df: DataFrame, spec: PanelSpec = SPEC, ratios: Sequence[float] |
     """(first time of val, first time of test).
 
     Two fixed times win over ratios.  Ratios are positions among all rows by time, nulls
-    last; the time at a position opens its part, so equal times never part.  Rows are counted
-    by time first: what is summed and read back is one row for each distinct time.
+    last; the time at a position opens its part, so equal times never part.
     """
     if val_start is not None and test_start is not None:
         if not val_start < test_start:
@@ -28,19 +28,47 @@ def boundaries(df: DataFrame, spec: PanelSpec = SPEC, ratios: Sequence[float] |
         raise ValueError("give ratios, or both val_start and test_start")
     if len(ratios) != 3 or abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError("three ratios with the sum 1 are needed")
-    t = spec.time_col
-    counts = df.groupBy(t).agg(F.count(F.lit(1)).alias("n"))
-    everything = F.sum("n").over(Window.partitionBy())
-    running = counts.select(t, F.sum("n").over(Window.orderBy(F.col(t).asc_nulls_last())).alias("cum"), everything.alias("n"))
-    at_val = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(ratios[0]))))
-    at_test = F.greatest(at_val + 1, F.floor(F.col("n") * F.lit(float(ratios[0] + ratios[1]))))
-    opens = lambda at: F.min(F.when(F.col("cum") > F.least(at, F.col("n") - 1), F.col(t)))
-    found = running.agg(opens(at_val).alias("v"), opens(at_test).alias("t"), F.max("n").alias("n")).first()
-    if (found["n"] or 0) < 10:
+    days = _buckets(df, spec.time_col, _LEVELS[0])
+    n = sum(r["n"] for r in days)
+    if n < 10:
         raise ValueError("at least 10 rows are needed for a split by ratios")
-    if found["v"] is None or found["t"] is None or not found["v"] < found["t"]:
+    at_val = max(1, math.floor(n * float(ratios[0])))
+    at_test = max(at_val + 1, math.floor(n * float(ratios[0] + ratios[1])))
+    v, t = (time_at(df, spec.time_col, min(at, n - 1), days) for at in (at_val, at_test))
+    if v is None or t is None or not v < t:
         raise ValueError("the parts' first times coincide; use other ratios or fixed times")
-    return found["v"], found["t"]
+    return v, t
+
+
+# Ever finer buckets of time; a bucket of one level holds at most 86,400, 1,000 and 1,000 of the next.
+_LEVELS = ("DAY", "SECOND", "MILLISECOND", "MICROSECOND")
+
+
+def _buckets(df: DataFrame, t: str, unit: str) -> list:
+    """Rows (n, lo, hi) of the buckets of a unit in time order, rows without a time last."""
+    g = df.groupBy(F.date_trunc(unit, t).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+    return sorted(g.collect(), key=lambda r: (r["b"] is None, r["b"] or 0))
+
+
+def time_at(df: DataFrame, t: str, position: int, days: list | None = None):
+    """Time at a position (from 0) of all rows by time, nulls last.
+
+    Rows are counted by day, then within the day that holds the position by ever finer units, until a
+    bucket has a single time: no rows are sorted, and no task or driver gets more than the
+    buckets of one level.
+    """
+    rows = days if days is not None else _buckets(df, t, _LEVELS[0])
+    for finer in (*_LEVELS[1:], None):
+        for r in rows:
+            if position < r["n"]:
+                break
+            position -= r["n"]
+        else:
+            raise IndexError("the position is beyond the rows")
+        if finer is None or r["lo"] == r["hi"]:
+            return r["lo"]
+        within = lambda x: F.lit(x).cast(df.schema[t].dataType)
+        rows = _buckets(df.where(F.col(t).between(within(r["lo"]), within(r["hi"]))), t, finer)
 
 
 def assign_split(df: DataFrame, val_start, test_start, spec: PanelSpec = SPEC, into: str = "split") -> DataFrame:
@@ -64,14 +92,23 @@ def split_counts(df: DataFrame, spec: PanelSpec = SPEC, split: str = "split") ->
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"), F.min(t).alias("first_date"), F.max(t).alias("last_date"))
 
 
+def leakage(df: DataFrame, spec: PanelSpec = SPEC, split: str = "split") -> DataFrame:
+    """One row: n_train, n_val, n_test, and whether training ends before val and before test begin
+    (null if a part is empty)."""
+    t = F.col(spec.time_col)
+    own = lambda s: F.when(F.col(split) == s, t)
+    counts = [F.count(F.when(F.col(split) == s, 1)).alias(f"n_{s}") for s in SPLITS]
+    return df.agg(*counts, *[(F.max(own("train")) < F.min(own(s))).alias(f"train_before_{s}") for s in SPLITS[1:]])
+
+
 def check_split(df: DataFrame, spec: PanelSpec = SPEC, split: str = "split") -> None:
     """ValueError if a part is empty or training reaches into the others."""
-    rows = {r[split]: r for r in split_counts(df, spec, split).collect()}
-    missing = [s for s in SPLITS if s not in rows]
+    r = leakage(df, spec, split).first()
+    missing = [s for s in SPLITS if not r[f"n_{s}"]]
     if missing:
         raise ValueError(f"empty parts: {missing}")
     for later in SPLITS[1:]:
-        if not rows["train"]["last_date"] < rows[later]["first_date"]:
+        if not r[f"train_before_{later}"]:
             raise ValueError(f"train overlaps {later}")
 
 
@@ -98,14 +135,17 @@ def scale_by_series(df: DataFrame, train: DataFrame, columns: Sequence[str], spe
     return d.withColumns(z).select(*df.columns)
 
 
+def softplus_inverse(y: Column) -> Column:
+    """ln(exp(y) - 1) for 0 < y <= 10 and y itself above, where both agree to 5e-5; null for y <= 0."""
+    return F.when(y > 10, y.cast("double")).when(y > 0, F.log(F.expm1(y)))
+
+
 def series_normalizer(train: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """Center and scale of each series' target under the inverse of softplus.
 
-    z = ln(exp(y) - 1) for 0 < y <= 10 and y itself above, where both agree to 5e-5; y <= 0 has
-    no z.  scale is the sample's standard deviation, null where it is 0.
+    scale is the sample's standard deviation, null where it is 0.
     """
-    y = F.col(spec.target_col)
-    z = F.when(y > 10, y.cast("double")).when(y > 0, F.log(F.expm1(y)))
+    z = softplus_inverse(F.col(spec.target_col))
     stats = train.where(spec.has_key()).withColumn("__z", z).groupBy(*spec.id_cols)
     return stats.agg(F.avg("__z").alias("center"), F.nullif(F.stddev_samp("__z"), F.lit(0.0)).alias("scale"), F.count("__z").alias("n"))
 

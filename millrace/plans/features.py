@@ -20,7 +20,8 @@ def feature_table(raw: DataFrame, reference_year: int, outlier_date: str, period
     """Align, clean, calendar, holidays, time index, cyclical encodings, lags.
 
     The facts are shuffled once, by series; factors, holidays and the first time are
-    broadcast, and all windows share that shuffle's order.
+    broadcast, and all windows share that shuffle's order.  ``raw`` is read three times (factors, first
+    time, features): store it first if it is not a table.
     """
     raw = coerce_time(raw, spec.time_col)
     d = align(raw, reference_year, spec)

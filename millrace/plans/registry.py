@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, cyclical
-from ..operators import align, audit, clean, lags, scoring, split
-from ..spec import SPEC, PanelSpec
+from ..operators import align, audit, clean, join, lags, samples, scoring, split
+from ..sources import io
+from ..spec import SPEC, PanelSpec, coerce_time, column_report
+from ..storage import new_path, stored
 from . import features
 
 YEAR, OUTLIER, MONTHS = 2000, "2000-01-01", (3, 4, 5)
@@ -18,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """Quantity shipped by day, region, return flag and line status (or by day and region)."""
+def panel(spark: SparkSession, sf_dir: str, dense: bool = False, keep: bool = False) -> DataFrame:
+    """Quantity shipped by day, region, return flag and line status (or by day and region).
+
+    Facts are grouped by the regions' numbers, and names join the few groups.  ``keep`` writes the
+    panel once, for queries that read it more than once.
+    """
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    s = s.join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("country"))
+    s = s.select("s_suppkey", F.col("n_regionkey").alias("r"))
     l = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    parts = [] if dense else ["l_returnflag", "l_linestatus"]
+    g = l.select("l_shipdate", "r", *parts, "l_quantity").groupBy("l_shipdate", "r", *parts).agg(F.sum("l_quantity").alias("num_sold"))
+    g = g.join(F.broadcast(table(spark, sf_dir, "region")), F.col("r") == F.col("r_regionkey"))
     store, product = (F.lit("ALL"), F.lit("ALL")) if dense else (F.col("l_returnflag"), F.col("l_linestatus"))
-    keys = [F.col("l_shipdate").cast("timestamp_ntz").alias("date"), "country", store.alias("store"), product.alias("product")]
-    return l.select(*keys, "l_quantity").groupBy("date", "country", "store", "product").agg(F.sum("l_quantity").alias("num_sold"))
+    p = g.select(F.col("l_shipdate").cast("timestamp_ntz").alias("date"), F.col("r_name").alias("country"), store.alias("store"), product.alias("product"), "num_sold")
+    return stored(p, "panel") if keep else p
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -108,14 +117,14 @@ def query(sql: str):
 
 @query(f"WITH {PANEL}, {FACTORS} SELECT date, {IDS}, round(num_sold, 4) AS num_sold, year FROM aligned")
 def align_yearly(spark, sf_dir):
-    return rounded(align.align(panel(spark, sf_dir), YEAR), "num_sold")
+    return rounded(align.align(panel(spark, sf_dir, keep=True), YEAR), "num_sold")
 
 
 @query(f"""WITH {PANEL}, {FACTORS}
 SELECT a.country, a.year, round(a.aligned, 4) AS aligned, round(m.m, 4) AS raw
 FROM (SELECT country, year, avg(num_sold) AS aligned FROM aligned GROUP BY ALL) a JOIN means m ON a.country = m.country AND a.year = m.y""")
 def align_sanity(spark, sf_dir):
-    p = panel(spark, sf_dir)
+    p = panel(spark, sf_dir, keep=True)
     return rounded(align.alignment_means(p, align.align(p, YEAR)), "aligned", "raw")
 
 
@@ -170,7 +179,7 @@ def fill_lag_gaps(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    p = panel(spark, sf_dir)
+    p = panel(spark, sf_dir, keep=True)
     val, test = split.boundaries(p)
     return split.assign_split(p, val, test), val, test
 
@@ -237,7 +246,7 @@ _IN_YEAR = f"date >= TIMESTAMP '{YEAR}-01-01' AND date < TIMESTAMP '{YEAR + 1}-0
 SELECT date, country, coalesce(round(sum(num_sold), 4), 0) AS total, 'aligned' AS variant FROM panel WHERE {_IN_YEAR} GROUP BY date, country
 UNION ALL SELECT date, country, coalesce(round(sum(num_sold), 4), 0), 'cleaned' FROM cleaned WHERE {_IN_YEAR} GROUP BY date, country""")
 def daily_before_after(spark, sf_dir):
-    p = panel(spark, sf_dir)
+    p = panel(spark, sf_dir, keep=True)
     return rounded(audit.daily_before_after(p, clean.clean(p, OUTLIER, YEAR, MONTHS), YEAR), "total")
 
 
@@ -248,8 +257,8 @@ change AS (SELECT {IDS}, coalesce(round(sum(abs(diff)), 4), 0) AS abs_change FRO
 
 
 def _diff(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    return audit.differences(p, clean.clean(p, OUTLIER, YEAR, MONTHS), year=YEAR)
+    p = panel(spark, sf_dir, keep=True)
+    return stored(audit.differences(p, clean.clean(p, OUTLIER, YEAR, MONTHS), year=YEAR), "diff")
 
 
 @query(f"{_DIFF} SELECT * FROM change ORDER BY abs_change DESC, {IDS} LIMIT 5")
@@ -303,13 +312,10 @@ def run_summary(spark, sf_dir):
 
 def _forecasts(spark, sf_dir):
     """Last week's value stands in for a forecast, of every part of the split."""
-    d = lags.lag_features(panel(spark, sf_dir), lags=(7,), rolling=())
-    val, test = split.boundaries(d)
-    d = split.assign_split(d, val, test)
-    keys = ["date", *SPEC.id_cols]
-    actual = d.select(*keys, "split", F.col("num_sold").alias("y"))
-    forecast = d.select(*keys, F.col("lag_7").alias("yhat")).where("yhat is not null")
-    return actual.join(forecast, keys)
+    p = panel(spark, sf_dir, keep=True)
+    val, test = split.boundaries(p)
+    d = split.assign_split(lags.lag_features(p, lags=(7,), rolling=()), val, test)
+    return d.withColumnsRenamed({"num_sold": "y", "lag_7": "yhat"}).where("yhat is not null")
 
 
 _FORECAST = f"WITH {PANEL}, {_BOUNDS}, f AS (SELECT split, date, {IDS}, num_sold AS y, lag(num_sold, 7) OVER ({W}) AS yhat FROM parts), g AS (SELECT * FROM f WHERE yhat IS NOT NULL)"
@@ -342,7 +348,7 @@ SELECT split, {IDS}, time_idx, CAST(len(e) AS INTEGER) AS n_encoder, list_sum(e)
   CAST(len(d) AS INTEGER) AS n_decoder, list_sum(d)::DOUBLE AS decoder_sum, d[1]::DOUBLE AS decoder_first, d[7]::DOUBLE AS decoder_last
 FROM s WHERE len(e) = 28 AND len(d) = 7 AND span = 34""")
 def training_samples(spark, sf_dir):
-    p = panel(spark, sf_dir, dense=True)
+    p = panel(spark, sf_dir, dense=True, keep=True)
     d = features.sample_table(calendar.time_index(p))
     size = lambda c: F.size(c).alias(f"n_{c}")
     sum_ = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")).alias(f"{c}_sum")
@@ -356,5 +362,170 @@ SELECT date, {IDS}, round(num_sold, 4) AS num_sold, is_lockdown_period, {_CALEND
   """ + ", ".join(f"round(lag(num_sold, {n}) OVER ({W}), 4) AS lag_{n}" for n in lags.LAGS) + f""", round(avg(num_sold) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 4) AS lag_7_mean
 FROM cleaned LEFT JOIN holidays ON d = CAST(date AS DATE)""")
 def full_pipeline(spark, sf_dir):
-    d = features.feature_table(panel(spark, sf_dir), YEAR, OUTLIER, YEAR, MONTHS)
+    d = features.feature_table(panel(spark, sf_dir, keep=True), YEAR, OUTLIER, YEAR, MONTHS)
     return rounded(d, "num_sold", *CYC, *[f"lag_{n}" for n in lags.LAGS], "lag_7_mean")
+
+
+# Files: what is written is read back.
+
+
+@query(f"""WITH {PANEL} SELECT CASE WHEN store = 'R' THEN NULL ELSE date END AS date, {IDS}, CASE WHEN product = 'F' THEN num_sold END AS num_sold FROM panel""")
+def csv_round_trip(spark, sf_dir):
+    """Text dates and numbers, some unreadable, through a CSV with a header."""
+    p, path = panel(spark, sf_dir), new_path(spark, "sales")
+    p = p.withColumns({"date": F.when(F.col("store") == "R", "no date").otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")), "num_sold": F.when(F.col("product") == "F", F.col("num_sold").cast("string")).otherwise("many")})
+    p.write.option("header", True).csv(path)
+    return io.read_sales_csv(spark, path)
+
+
+@query(f"WITH {PANEL} SELECT panel.*, k.kind FROM panel, (VALUES ('PARQUET'), ('csv')) k(kind)")
+def tables_by_suffix(spark, sf_dir):
+    """A stage table, sorted within its files, read by suffix in either format."""
+    p, path = panel(spark, sf_dir, keep=True), new_path(spark, "stage")
+    io.write_table(p, f"{path}.PARQUET", ("date", *SPEC.id_cols))
+    p.write.option("header", True).csv(f"{path}.csv")
+    both = [coerce_time(io.read_table(spark, f"{path}.{kind}"), "date").withColumn("kind", F.lit(kind)) for kind in ("PARQUET", "csv")]
+    both[1] = both[1].withColumns({"date": F.col("date").cast("timestamp_ntz"), "num_sold": F.col("num_sold").cast("double")})
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {PANEL}, {_BOUNDS} SELECT split, date, {IDS}, num_sold FROM parts")
+def split_files(spark, sf_dir):
+    d, path = _parts(spark, sf_dir)[0], new_path(spark, "splits")
+    io.write_splits(d, path)
+    return spark.read.parquet(path).select("split", "date", *SPEC.id_cols, "num_sold")
+
+
+@query(f"""WITH {PANEL}, {_BOUNDS} SELECT strftime(any_value(v), '%Y-%m-%d') AS val_start, strftime(any_value(t), '%Y-%m-%d') AS test_start, 'panel' AS source, 'num_sold' AS scaled,
+count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test FROM parts, bounds""")
+def manifest_json(spark, sf_dir):
+    d, val, test = _parts(spark, sf_dir)
+    path = new_path(spark, "manifest")
+    io.write_json(split.split_manifest(d, val, test, source="panel", scaled_cols=["num_sold"]), path)
+    m = spark.read.json(path)
+    return m.select("val_start", "test_start", "source", F.element_at("scaled_cols", 1).alias("scaled"), *[F.col(f"rows.{s}").alias(f"n_{s}") for s in split.SPLITS])
+
+
+def _log_files(spark, sf_dir):
+    """Run logs in two forms below one folder: with epochs, and without."""
+    log, path = run_log(spark, sf_dir), new_path(spark, "logs")
+    even = F.col("run_id") % 2 == 0
+    for part, columns in ((even, ["epoch", "train_loss_epoch", "val_loss"]), (~even, ["val_loss", "lr-Adam"])):
+        d = log.where(part).repartition("run_id").sortWithinPartitions("run_id", "step")
+        d = d.select(F.concat(F.lit("run_"), F.col("run_id")).alias("run"), *[F.col(f"`{c}`") for c in columns])
+        d.write.mode("append").partitionBy("run").option("header", True).csv(path)
+    logs = io.read_run_logs(spark, f"{path}/run=*/*.csv")
+    return logs.withColumn("run_id", F.regexp_extract("run_id", r"([0-9]+)$", 1).cast("long"))
+
+
+@query(f"""{_EPOCHS} SELECT run_id, CAST(epoch AS DOUBLE) AS epoch, train_loss, val_loss FROM epochs WHERE run_id % 2 = 0""")
+def run_log_files(spark, sf_dir):
+    d = scoring.run_epochs(_log_files(spark, sf_dir).where("epoch is not null"))
+    return d.select("run_id", "epoch", "train_loss", "val_loss")
+
+
+@query("""WITH log AS (SELECT user_id AS run_id, ts, CASE WHEN event_type = 'click' THEN value END AS val_loss, CASE WHEN event_type = 'signup' THEN value END AS lr FROM events WHERE user_id % 2 = 1)
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY ts) - 1 AS INTEGER) AS epoch, val_loss, lr FROM log WHERE val_loss IS NOT NULL OR lr IS NOT NULL""")
+def row_number_epochs(spark, sf_dir):
+    """Logs without an epoch column: rows that hold a value are numbered."""
+    d = _log_files(spark, sf_dir).where("run_id % 2 = 1").drop("epoch", "train_loss_epoch")
+    return scoring.run_epochs(d).select("run_id", "epoch", "val_loss", "lr")
+
+
+_RUNS = f"""{_EPOCHS}, runs AS (SELECT run_id, CAST(max(epoch) + 1 AS INTEGER) AS n_epochs, round(min(val_loss), 6) AS best_val_loss FROM epochs GROUP BY run_id)"""
+
+
+@query(f"{_RUNS} SELECT row_number() OVER (ORDER BY best_val_loss NULLS LAST, run_id) - 1 AS place, run_id, n_epochs, best_val_loss FROM runs")
+def comparison_csv(spark, sf_dir):
+    """Runs in the order of the comparison's file."""
+    path = new_path(spark, "comparison")
+    io.write_comparison(scoring.compare_runs(rounded6(scoring.run_summary(scoring.run_epochs(run_log(spark, sf_dir))))), path)
+    # One file, read as one split: ids count its rows.
+    d = spark.read.option("header", True).csv(path).coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    return d.select("place", F.col("run_id").cast("long"), F.col("n_epochs").cast("int"), F.col("best_val_loss").cast("double"))
+
+
+def rounded6(df: DataFrame) -> DataFrame:
+    return df.withColumn("best_val_loss", F.round("best_val_loss", 6))
+
+
+@query(f"""WITH {PANEL}, n AS (SELECT count(*) AS n_rows FROM panel)
+SELECT n_rows, 'date,country,store,product,num_sold' AS columns, panel.* FROM panel, n ORDER BY date, {IDS} LIMIT 12""")
+def preview_rows(spark, sf_dir):
+    n, columns, first = io.preview(panel(spark, sf_dir, keep=True), 12, ("date", *SPEC.id_cols))
+    return first.select(F.lit(n).cast("long").alias("n_rows"), F.lit(",".join(columns)).alias("columns"), "*")
+
+
+@query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP) AS day FROM orders")
+def strict_dates(spark, sf_dir):
+    """Text dates, each of which must be readable."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return coerce_time(d, "day", strict=True)
+
+
+@query("""SELECT 'ts' AS "column", true AS present, count(ts) AS n_set FROM events UNION ALL SELECT 'value', true, count(value) FROM events UNION ALL SELECT 'num_sold', false, 0 FROM events LIMIT 3""".replace(" FROM events LIMIT 3", ""))
+def required_columns(spark, sf_dir):
+    return column_report(table(spark, sf_dir, "events"), ["ts", "value", "num_sold"])
+
+
+@query(f"""WITH {PANEL}, {_BOUNDS} SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test,
+max(date) FILTER (WHERE split = 'train') < min(date) FILTER (WHERE split = 'val') AS train_before_val, max(date) FILTER (WHERE split = 'train') < min(date) FILTER (WHERE split = 'test') AS train_before_test FROM parts""")
+def split_leakage(spark, sf_dir):
+    d = _parts(spark, sf_dir)[0]
+    split.check_split(d)
+    return split.leakage(d)
+
+
+@query("SELECT o_orderkey, o_custkey, coalesce(c_nationkey, -1) AS c_nationkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+def many_to_one(spark, sf_dir):
+    """Orders with their customer's nation; a third of the customers is unknown."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    d = join.many_to_one(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"])
+    return d.withColumn("c_nationkey", F.coalesce("c_nationkey", F.lit(-1)))
+
+
+@query(f"""WITH {PANEL}, {DENSE.replace('panel AS', 'dense AS')} SELECT p.country, count(*) AS n, round(avg((p.num_sold - d.num_sold / 6) * (p.num_sold - d.num_sold / 6)), 4) AS mse
+FROM panel p JOIN dense d ON p.date = d.date AND p.country = d.country GROUP BY p.country""")
+def joined_forecasts(spark, sf_dir):
+    """A sixth of the region's day as the forecast of each of its series."""
+    p, d = panel(spark, sf_dir, keep=True), panel(spark, sf_dir, dense=True)
+    ids = p.select(*SPEC.id_cols).distinct()
+    f = d.drop("store", "product").join(ids, "country").select("date", *SPEC.id_cols, (F.col("num_sold") / 6).alias("yhat"))
+    both = join.with_forecasts(p, f)
+    return rounded(scoring.mse_loss(both, ["country"]).join(both.groupBy("country").agg(F.count(F.lit(1)).alias("n")), "country"), "mse").select("country", "n", "mse")
+
+
+_SAMPLE = f"""x AS (SELECT parts.*, {_TIME_IDX}, CAST(isodow(date) - 1 AS INTEGER) AS dayofweek, lag(num_sold, 7) OVER ({W}) AS lag_7 FROM parts),
+s AS (SELECT split, {IDS}, time_idx + 1 AS time_idx,
+  list(CAST(num_sold AS FLOAT)) OVER past AS e, list(CAST(num_sold AS FLOAT)) OVER future AS d,
+  sum(dayofweek) OVER past AS e_dow, sum(dayofweek) OVER future AS d_dow, sum(CAST(lag_7 AS FLOAT)) OVER past AS e_lag, count(lag_7) OVER past AS n_lag,
+  max(time_idx) OVER o - min(time_idx) OVER o AS span
+  FROM x WINDOW past AS (PARTITION BY split, {IDS} ORDER BY time_idx ROWS BETWEEN 27 PRECEDING AND CURRENT ROW),
+  future AS (PARTITION BY split, {IDS} ORDER BY time_idx ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING),
+  o AS (PARTITION BY split, {IDS} ORDER BY time_idx ROWS BETWEEN 27 PRECEDING AND 7 FOLLOWING)),
+z AS (SELECT {IDS}, avg(z) AS center, nullif(stddev_samp(z), 0) AS scale FROM (
+  SELECT {IDS}, CASE WHEN num_sold > 10 THEN num_sold WHEN num_sold > 0 THEN ln(exp(num_sold) - 1) END AS z FROM parts WHERE split = 'train') GROUP BY ALL)"""
+
+
+@query(f"""WITH {DENSE}, {_BOUNDS}, {_SAMPLE}
+SELECT s.split, s.country, s.time_idx, CAST(e_dow AS DOUBLE) AS dow_past, CAST(d_dow AS DOUBLE) AS dow_future, round(coalesce(e_lag, 0), 2) AS lag_past, CAST(28 - n_lag AS INTEGER) AS lag_missing,
+  round(center, 4) AS center, round(scale, 4) AS scale,
+  round(list_sum(list_transform(e, lambda y: ((CASE WHEN y > 10 THEN y::DOUBLE WHEN y > 0 THEN ln(exp(y::DOUBLE) - 1) END) - center) / scale)), 4) AS encoder_sum,
+  round(list_sum(list_transform(d, lambda y: ((CASE WHEN y > 10 THEN y::DOUBLE WHEN y > 0 THEN ln(exp(y::DOUBLE) - 1) END) - center) / scale)), 4) AS decoder_sum
+FROM s JOIN z ON s.country = z.country WHERE len(e) = 28 AND len(d) = 7 AND span = 34""")
+def role_samples(spark, sf_dir):
+    """Samples with covariates by role, their targets under the normaliser learnt from training."""
+    p = panel(spark, sf_dir, dense=True, keep=True)
+    d = lags.lag_features(calendar.calendar_features(calendar.time_index(p)), lags=(7,), rolling=()).drop("year", "month", "day", "weekofyear", "is_weekend")
+    val, test = split.boundaries(p)
+    d = split.assign_split(d, val, test)
+    roles = samples.feature_roles(d.drop("split"))
+    found = samples.training_samples(d, roles=roles)
+    found = samples.normalize_samples(found, split.series_normalizer(d.where("split = 'train'")))
+    sum_ = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    out = found.select(
+        "split", "country", "time_idx", sum_("encoder_dayofweek").alias("dow_past"), sum_("decoder_dayofweek").alias("dow_future"),
+        F.round(sum_("encoder_lag_7"), 2).alias("lag_past"), F.size(F.filter("encoder_lag_7", lambda x: x.isNull())).alias("lag_missing"),
+        "center", "scale", sum_("encoder").alias("encoder_sum"), sum_("decoder").alias("decoder_sum"),
+    )
+    return rounded(out, "center", "scale", "encoder_sum", "decoder_sum")

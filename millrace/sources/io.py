@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,19 +57,35 @@ def write_comparison(df: DataFrame, path: str) -> None:
 def read_run_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Run logs, e.g. ".../run_*/metrics.csv", as one table of doubles with run_id and step.
 
-    Headers may differ between runs: columns are matched by name, missing ones are null.
-    run_id is the folder of the file; step is the row's place in it.
+    Headers may differ between runs: files of one header are read together, columns are matched by
+    name, missing ones are null.  run_id is the folder of the file; step is the row's place in it.
     """
-    lines = spark.read.text(pattern, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
-    run = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    rows = lines.select(run.alias("run_id"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("step", "line"), F.split(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", ""), ",").alias("head"))
-    rows = rows.where((F.col("step") > 0) & (F.trim("line") != ""))
-    # The union of all headers, a few names.
-    names = [r[0] for r in rows.select(F.explode("head")).distinct().collect()]
-    cell = lambda n: F.get(F.split("line", ","), F.array_position("head", n).cast("int") - 1)
-    return rows.select("run_id", "step", *[F.when(F.array_contains("head", n), cell(n)).try_cast("double").alias(n) for n in sorted(names)])
-
-
-def preview(df: DataFrame, n: int = 5) -> tuple[int, list[str], DataFrame]:
-    """Row count, column names and the first ``n`` rows."""
-    return df.count(), df.columns, df.limit(n)
+    text = spark.read.text(pattern).select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("id", F.monotonically_increasing_id())
+    # The first line of each file: one row for each run reaches the driver.
+    first = text.where("block = 0").groupBy("path").agg(F.min_by("value", "id").alias("head"))
+    by_header: dict[str, list[str]] = {}
+    for r in sorted(first.collect()):
+        by_header.setdefault(r["head"].strip("\r"), []).append(r["path"])
+    out = None
+    place = Window.partitionBy("path").orderBy("block", "id")
+    for paths in by_header.values():
+        # Spark itself reads the names, so quotes and commas in them are its own affair.
+        names = spark.read.option("header", True).csv(paths[0]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        d = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
+        d = d.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in names], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+        d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), F.row_number().over(place).alias("step"), *[F.col(f"`{c}`") for c in names])
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no run logs: {pattern}")
+    return out
+
+
+def head(df: DataFrame, n: int, order: tuple[str, ...]) -> DataFrame:
+    """The first ``n`` rows by ``order``, nulls first."""
+    return df.orderBy(*order).limit(n)
+
+
+def preview(df: DataFrame, n: int = 5, order: tuple[str, ...] = ()) -> tuple[int, list[str], DataFrame]:
+    """Row count, column names and the first ``n`` rows by ``order`` (of all columns, if none is given)."""
+    return df.count(), df.columns, head(df, n, order or tuple(df.columns))

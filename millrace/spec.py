@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import stored
+
 
 @dataclass(frozen=True)
 class PanelSpec:
@@ -72,9 +74,31 @@ DIMENSION_ROWS = 100_000
 
 
 def dimension(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
-    """A grouped result, computed once and to be broadcast if it has ``most`` rows or fewer;
-    a larger one is returned as it is, for a shuffled join."""
-    rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    """A grouped result, computed once and written; to be broadcast if its count is ``most`` rows
+    or fewer, left to a shuffled join if it is larger."""
+    kept = stored(df, "dimension")
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def check_unique(df: DataFrame, keys: Iterable[str]) -> None:
+    """ValueError if rows share a key: a join on it would multiply rows.  Null keys match nothing."""
+    keys = list(keys)
+    set_ = df.dropna(subset=keys)
+    if not set_.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        raise ValueError(f"rows share a key of {keys}")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or a ValueError if it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
+
+
+def column_report(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column, present, n_set) of required columns: whether each is there, and its values that are set."""
+    columns = list(columns)
+    one = lambda c: F.count(c) if c in df.columns else F.lit(0).cast("long")
+    rows = df.agg(*[one(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    items = [F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(f"__{i}").alias("n_set")) for i, c in enumerate(columns)]
+    return rows.select(F.explode(F.array(*items)).alias("r")).select("r.*")

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import calendar, cyclical
 from millrace.operators import align, audit, clean, lags, samples, scoring, split
@@ -220,3 +221,54 @@ def test_empty_panel(spark):
     assert align.align(d, 2020).count() == 0
     assert lags.lag_features(clean.clean(d, "2020-01-01", 2020, (3,))).count() == 0
     assert audit.daily_totals(d).count() == 0
+
+
+def test_time_at_any_position(spark):
+    """Ties, nulls, and times that differ by days, seconds, milliseconds and microseconds."""
+    base = dt.datetime(2020, 1, 1)
+    steps = [0, 0, 1, 2, 999, 1000, 1001, 10**6, 10**6, 10**6 + 1, 61 * 10**6, 86_400 * 10**6, 86_400 * 10**6 + 5, 90_000 * 10**6]
+    times = [base + dt.timedelta(microseconds=s) for s in steps]
+    df = spark.createDataFrame([(t,) for t in times] + [(None,)], "date timestamp_ntz")
+    assert [split.time_at(df, "date", i) for i in range(15)] == [*times, None]
+    with pytest.raises(IndexError):
+        split.time_at(df, "date", 15)
+
+
+def test_checks_raise(spark):
+    from millrace.operators import audit, join
+    from millrace.spec import check_unique
+
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "k int, v string")
+    with pytest.raises(ValueError):
+        join.many_to_one(spark.createDataFrame([(1, 2)], "k int, x int"), twice, ["k"])
+    check_unique(twice.where("k is null or v = 'a'"), ["k"])
+    spec = PanelSpec("date", ("id",), "y")
+    one = spark.createDataFrame([(dt.datetime(2020, 1, 1), "a", 1.0)], "date timestamp_ntz, id string, y double")
+    with pytest.raises(ValueError):
+        audit.differences(one, one.withColumn("id", F.lit("b")), spec, check=True)
+    assert audit.differences(one, one, spec, check=True).first()["diff"] == 0.0
+
+
+def test_samples_by_role_and_normalizer(spark):
+    spec = PanelSpec("date", ("id",), "y")
+    rows = [("train", "a", i, float(i + 1), i * 10, None if i == 1 else i) for i in range(6)]
+    d = spark.createDataFrame(rows, "split string, id string, time_idx long, y double, k int, u int")
+    roles = samples.FeatureRoles(["id"], ["k", "time_idx"], ["y", "u"])
+    got = samples.training_samples(d, spec, encoder=3, decoder=2, roles=roles).orderBy("time_idx").collect()
+    assert [r["time_idx"] for r in got] == [3, 4]
+    assert got[0]["encoder"] == [1, 2, 3] and got[0]["decoder"] == [4, 5]
+    assert got[0]["encoder_k"] == [0, 10, 20] and got[0]["decoder_k"] == [30, 40] and got[0]["decoder_time_idx"] == [3, 4]
+    assert got[0]["encoder_u"] == [0, None, 2] and "decoder_u" not in got[0].asDict()
+    stats = split.series_normalizer(d, spec)
+    n = samples.normalize_samples(samples.training_samples(d, spec, encoder=3, decoder=2), stats, spec).orderBy("time_idx").first()
+    z = [math.log(math.expm1(y)) for y in range(1, 7)]
+    m = sum(z) / 6
+    s = (sum((x - m) ** 2 for x in z) / 5) ** 0.5
+    assert n["encoder"] == pytest.approx([(x - m) / s for x in z[:3]]) and n["decoder"] == pytest.approx([(x - m) / s for x in z[3:5]])
+
+
+def test_holidays_outside_the_rules_are_unknown(spark):
+    from millrace.functions import calendar
+
+    d = spark.createDataFrame([(dt.datetime(1990, 1, 1),), (dt.datetime(2020, 1, 1),), (dt.datetime(2020, 1, 2),), (None,)], "date timestamp_ntz")
+    assert [r["is_holiday_de"] for r in calendar.holiday_features(d).collect()] == [None, 1, 0, 0]

@@ -40,3 +40,28 @@ def test_filters_reach_the_scan(spark):
     d = audit.in_year(p, 2024, PanelSpec("ts", ("user_id",), "value")).select("value")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan
+
+
+def test_facts_are_scanned_once(spark):
+    """Aligning reads the panel that was written, and one scan of it gives the factors."""
+    plan = registry.QUERIES["align_yearly"](spark, SF)._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and plan.split("== Physical Plan ==")[1].count("FileScan") == 2
+    p = registry.panel(spark, SF, keep=True)
+    from millrace.operators import align
+
+    assert align.level_factors(p, 2000)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_queries_run_without_the_corpus_operators(tmp_path):
+    """The entry imports, and keeps the panel's queries, where the corpus operators are missing."""
+    import shutil
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    shutil.copytree(f"{ROOT}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=True)
+    assert out.stdout.split()[-2:] == [str(len(registry.QUERIES))] * 2
