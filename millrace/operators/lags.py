@@ -37,6 +37,7 @@ def fill_lag_gaps(df: DataFrame, columns: Sequence[str] | None = None, spec: Pan
     columns = [c for c in df.columns if c.startswith("lag_")] if columns is None else list(columns)
     w = spec.window()
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    future = w.rowsBetween(0, Window.unboundedFollowing)
-    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future))
+    # Without a value up to here, the first one after is the first one of the whole series.
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(whole))
     return df.withColumns({c: F.when(spec.has_key(), fill(c)).otherwise(F.col(c)) for c in columns})
