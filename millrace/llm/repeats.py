@@ -36,7 +36,7 @@ from .common import materialize, mix64, only, per_batch, random64, scratch, tabl
 
 LENGTH, GRAM = 200, 32
 #: Distinct contexts that one suffix array takes; wider anchors are split.
-MAX_CONTEXTS = 20_000
+MAX_CONTEXTS = 1_000
 #: Bytes of a text that are worked on at a time.
 BLOCK = 1 << 19
 _BYTE = random64(256, 51)
