@@ -162,16 +162,19 @@ def block_pairs(open_: DataFrame, sigs: DataFrame, fine: DataFrame) -> DataFrame
     and odd sketches leave possible.
 
     A bucket of more than ``BLOCK`` members falls into blocks; each pair of blocks is a group
-    of its own, so no task gathers a bucket and only likely pairs leave a task."""
+    of its own, so no task gathers a bucket and only likely pairs leave a task.  A pair leaves at the
+    first band that it shares: had a leader settled that bucket for it, it would be tested, and
+    had the bucket been closed, it would be of one component."""
     sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     d = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    sketches = sigs.select("doc_id", "sketch").join(fine, "doc_id")
-    d = d.join(sketches, "doc_id").select("key", "lo", "hi", "own", "doc_id", "n", "comp", "sketch", "fine")
+    sketches = sigs.select("doc_id", "sketch", "bands").join(fine, "doc_id")
+    d = d.join(sketches, "doc_id").select("key", "lo", "hi", "own", "doc_id", "n", "comp", "sketch", "fine", "bands")
 
-    def compare(g: list[np.ndarray]):
-        lo, hi, own, doc, n, comp, sketch, fine = g
+    def compare(key: int, g: list[np.ndarray]):
+        lo, hi, own, doc, n, comp, sketch, fine, bands = g
+        key = np.int64(key).view(np.uint64)
         left, right = (np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0]))
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
@@ -184,8 +187,10 @@ def block_pairs(open_: DataFrame, sigs: DataFrame, fine: DataFrame) -> DataFrame
             sure = np.zeros(len(x), bool)
             for c in range(0, len(x), 4096):
                 part = slice(c, c + 4096)
-                apart = np.bitwise_count(fine[i[x[part]]] ^ fine[right[y[part]]]).sum(1, dtype=np.int32)
-                sure[part] = apart <= FINE_MOST_ODD
+                a, b = i[x[part]], right[y[part]]
+                apart = np.bitwise_count(fine[a] ^ fine[b]).sum(1, dtype=np.int32)
+                first = (bands[a] == bands[b]).argmax(1)
+                sure[part] = (apart <= FINE_MOST_ODD) & (bands[a, first] == key)
             x, y = x[sure], y[sure]
             yield np.minimum(doc[i[x]], doc[right[y]]), np.maximum(doc[i[x]], doc[right[y]])
 
@@ -194,13 +199,13 @@ def block_pairs(open_: DataFrame, sigs: DataFrame, fine: DataFrame) -> DataFrame
         key = None
 
         def close():
-            for a, b in compare(held):
+            for a, b in compare(key[0], held):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(7)]
-            bits = [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64) for c in (7, 8)]
+            bits = [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64) for c in (7, 8, 9)]
             change = np.zeros(batch.num_rows, bool)
             for c in cols[:3]:
                 change[1:] |= c[1:] != c[:-1]
@@ -287,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
     members = materialize(members.join(shared, "key"), "members")
     used = materialize(members.select("doc_id").distinct(), "used")
     texts = materialize(only(known.select("doc_id", "text"), used, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    small = materialize(only(sigs.select("doc_id", "n", "sketch"), used, "doc_id").dropDuplicates(["doc_id"]), "sketches")
+    small = materialize(only(sigs.select("doc_id", "n", "sketch", "bands"), used, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
     spark = docs.sparkSession
     with scratch():
