@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE}
+ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE, **sharding.ORACLE}

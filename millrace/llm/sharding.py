@@ -80,3 +80,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = assign(thin, "doc_id", [1.0] * (SHARDS + 1), into="grown_shard")
     out = numbered(thin, "shard", ["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharding_sql(documents: str = "documents") -> str:
+    """DuckDB SQL of ``op10_sharding`` for up to ``GROUP_ROWS`` documents, whose slots one group numbers.
+
+    DuckDB has no crc32: a table made from its polynomial takes the texts byte by byte.
+    """
+
+    def scores(shards: int) -> str:
+        u = "(CAST('0x' || substr(md5('{}|' || key), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {}"
+        return "[" + ", ".join(f"-1.0 / ln({u.format(k, float(1 << 52))})" for k in range(shards)) + "]"
+
+    return f"""
+WITH bits AS (SELECT list(list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN {0xEDB88320} ELSE 0 END), b) ORDER BY b) AS crcs
+  FROM range(256) r(b)),
+d AS (SELECT doc_id, coalesce('=' || CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS bytes FROM {documents}),
+n AS (SELECT doc_id, key, octet_length(bytes) + 1 AS size,
+  list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+s AS (SELECT doc_id, size, {scores(SHARDS)} AS scores, {scores(SHARDS + 1)} AS grown,
+  xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1]), {0xFFFFFFFF}::BIGINT), {0xFFFFFFFF}) AS text_crc32 FROM n, bits),
+p AS (SELECT *, CAST(list_position(scores, list_max(scores)) - 1 AS INT) AS shard, CAST(list_position(grown, list_max(grown)) - 1 AS INT) AS grown_shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard FROM p"""
+
+
+ORACLE = {"op10_sharding": sharding_sql()}

@@ -532,6 +532,19 @@ def test_shards_equal_the_highest_scores(spark):
         assert (r["shard"], r["grown_shard"]) == (best(r["doc_id"], 8), best(r["doc_id"], 9))
 
 
+def test_sharding_sql_on_awkward_rows(spark, odd, stored):
+    import duckdb
+
+    path = stored(documents=odd)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = [tuple(r[c] for c in names) for r in sharding.op10_sharding(spark, path).collect()]
+    assert sorted(got, key=repr) == sorted(con.sql(sharding.sharding_sql()).select(*names).fetchall(), key=repr)
+    con.execute("CREATE TABLE none AS SELECT * FROM documents LIMIT 0")
+    assert con.sql(sharding.sharding_sql("none")).fetchall() == []
+
+
 def test_weighted_shards_and_groups(spark):
     d = sharding.assign(spark.range(20_000).withColumnRenamed("id", "k"), "k", [1.0, 3.0])
     n = {r["shard"]: r["count"] for r in d.groupBy("shard").count().collect()}
