@@ -32,6 +32,8 @@ ROUNDS = 3
 FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 2048, 8192, 0.05
 #: Members of a block that are compared with each other in one task.
 BLOCK = 1024
+#: Members that a part of a bucket holds on average, where buckets meet a row of their own.
+PART = 512
 
 _A32 = (random64(FINE_SAMPLES, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = random64(BANDS * ROWS, 37)
@@ -157,16 +159,22 @@ def sifted(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return p.where(odd <= MOST_ODD).select("a", "b")
 
 
+def by_part(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (key, part, ...) with the one row of their bucket in ``buckets`` (key, parts, ...), which
+    is copied once for each of its parts: no task gathers the members of a large bucket."""
+    return rows.join(buckets.withColumn("part", F.explode(F.sequence(F.lit(1), "parts"))).drop("parts"), ["key", "part"])
+
+
 def block_pairs(open_: DataFrame, sigs: DataFrame, fine: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket of (key, doc_id, n, comp) that sizes
+    """Pairs (a, b) of different components in one bucket of (key, part, parts, doc_id, n, comp) that sizes
     and odd sketches leave possible.
 
     A bucket of more than ``BLOCK`` members falls into blocks; each pair of blocks is a group
     of its own, so no task gathers a bucket and only likely pairs leave a task.  A pair leaves at the
     first band that it shares: had a leader settled that bucket for it, it would be tested, and
     had the bucket been closed, it would be of one component."""
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    d = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max("parts").alias("parts"))
+    d = by_part(open_, sizes).withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     sketches = sigs.select("doc_id", "sketch", "bands").join(fine, "doc_id")
@@ -288,8 +296,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
     classes = materialize(classes.withColumn("rep", F.col("first.doc_id")), "classes")
     one = sigs.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi")
     members = one.select(F.explode("bands").alias("key"), "doc_id", "n")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialize(members.join(shared, "key"), "members")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    shared = materialize(shared, "shared")
+    # The few large buckets tell their members how many parts there are; the others have one.
+    members = members.join(checked(shared.where("parts > 1")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("part", (F.pmod(F.xxhash64("doc_id"), "parts") + 1).cast("int"))
+    members = materialize(by_part(members, shared), "members")
     used = materialize(members.select("doc_id").distinct(), "used")
     texts = materialize(only(known.select("doc_id", "text"), used, "doc_id").dropDuplicates(["doc_id"]), "texts")
     small = materialize(only(sigs.select("doc_id", "n", "sketch", "bands"), used, "doc_id").dropDuplicates(["doc_id"]), "sketches")
@@ -303,11 +315,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
         for k in range(rounds + 1):
             if k < rounds:
                 # Weight: how many members a document meets over all its open buckets.
-                met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
-                weights = open_.join(met, "key").groupBy("doc_id").agg(F.sum("others").alias("w"))
+                met = open_.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"), F.max("parts").alias("parts"))
+                weights = by_part(open_, met).groupBy("doc_id").agg(F.sum("others").alias("w"))
                 weighed = materialize(open_.join(weights, "doc_id"), "weighed")
-                lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc_id").alias("m"), "doc_id", "comp")).alias("lead")), "leaders")
-                pairs = open_.join(lead, "key").where("doc_id <> lead.doc_id and comp <> lead.comp")
+                lead = materialize(weighed.groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc_id").alias("m"), "doc_id", "comp")).alias("lead"), F.max("parts").alias("parts")), "leaders")
+                pairs = by_part(open_, lead).where("doc_id <> lead.doc_id and comp <> lead.comp")
                 pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
             else:
                 left = open_.select("doc_id").distinct()
@@ -323,11 +335,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, rounds: int = ROUNDS) -> Da
             if k == rounds:
                 break
             # The leader's pairs are settled; members that its component holds need no pair among themselves.
-            rest = open_.join(lead, "key").where("doc_id <> lead.doc_id").select("key", "doc_id", "n")
-            rest = rest.join(comp, rest["doc_id"] == comp["node"], "left").select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+            rest = by_part(open_, lead).where("doc_id <> lead.doc_id").select("key", "part", "parts", "doc_id", "n")
+            rest = rest.join(comp, rest["doc_id"] == comp["node"], "left").select("key", "part", "parts", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
             rest = materialize(rest, "open")
-            mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            open_ = materialize(rest.join(mixed, "key", "left_semi"), "open")
+            mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("parts").alias("parts")).where("lo < hi").select("key", "parts")
+            open_ = materialize(by_part(rest, mixed), "open")
             if open_.isEmpty():
                 break
         comp = materialize(comp, "components", keep=True)

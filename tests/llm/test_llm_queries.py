@@ -65,8 +65,10 @@ def brute_components(rows, width):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_components_equal_brute_force(spark, rounds):
+@pytest.mark.parametrize("rounds, part", [(0, 512), (3, 512), (0, 2), (3, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, part):
+    """With and without rounds of leaders; with buckets of one part and of many."""
+    monkeypatch.setattr(neardup, "PART", part)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, rounds=rounds).collect()}
     assert got == brute_components(documents(spark, SF), 4)
