@@ -141,8 +141,8 @@ def random64(n: int, seed: int) -> np.ndarray:
 _POWERS = random64(4096, 11)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of several texts at once.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts at once, lower-cased (A-Z) if ``fold``.
 
     Returns (hashes, row of each word, start byte, end byte).  The hash is a
     multilinear sum of the word's bytes with fixed random multipliers, mixed.
@@ -168,7 +168,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if longest > len(_POWERS):
         _POWERS = random64(longest * 2, 11)
     pos = np.arange(len(at)) - np.repeat(where, lengths)
-    terms = (_LOWER[data[at]] + np.uint64(1)) * _POWERS[pos]
+    terms = ((_LOWER[data[at]] if fold else data[at].astype(np.uint64)) + np.uint64(1)) * _POWERS[pos]
     h = mix64(np.add.reduceat(terms, where) + lengths.astype(np.uint64))
     rows = np.searchsorted(offsets, starts, "right") - 1
     return h, rows, starts, starts + lengths
