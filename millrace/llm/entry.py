@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, phrases, pii, quality, repeats, sharding, tokenfiles, topk, toxicity, whitening
+from . import bpe, collocations, mixing, neardup, phrases, pii, quality, repeats, sharding, tokenfiles, topk, toxicity, whitening
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
     "op11_phrases": phrases.op11_phrases,
+    "op12_collocations": collocations.op12_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
-ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE, **sharding.ORACLE}
+ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE, **sharding.ORACLE, **collocations.ORACLE}
