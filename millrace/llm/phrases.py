@@ -8,7 +8,8 @@
    phrase are cut from one text that has it, neighbours as one passage.
 3. Every bucket of texts gets the passages that its own anchors ask for, compiles their phrases
    into Aho-Corasick automata over words, and streams all its texts through them: every
-   place where the words of a recurring phrase stand is found by the words themselves.
+   place where the words of a recurring phrase stand is found by the words themselves.  An automaton
+   holds the first words of a phrase, and the others are compared in place.
 
 So a phrase goes to a bucket once, however often it occurs there, and no text meets automata of phrases that it
 cannot hold.  What recurs is counted under keys of 128 bits; what is removed has equal words.
@@ -16,7 +17,7 @@ cannot hold.  What recurs is counted under keys of 128 bits; what is removed has
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import ahocorasick
 import numpy as np
@@ -27,17 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, only, per_batch, random64, scratch, table, word_hashes
+from .common import materialize, mix64, only, per_batch, random64, scratch, slices, table, word_hashes
 
-LENGTH, GRAM = 35, 8
+LENGTH, GRAM = 35, 6
 #: Bytes of the texts of a bucket; a longer text is a bucket of its own.
 BUCKET = 1 << 19
 #: Bytes of texts, and words of a text, that are hashed at a time.
 CHUNK, BLOCK = 1 << 20, 1 << 18
 #: Words of a passage, but for what its last phrase adds.
 PASSAGE = 256
-#: Words of the phrases of one automaton.
-SHARD = 2_000_000
+#: Words of a phrase that an automaton holds, and phrases of one automaton.
+HEAD, SHARD = 12, 50_000
 #: Words that can be told apart as characters; with more, an automaton reads sequences of numbers.
 SYMBOLS = 0x10FFFF - 0x800
 #: A row's number is its bucket's, and its place there in so many bits.
@@ -199,11 +200,12 @@ def passages(asked: DataFrame, length: int) -> DataFrame:
 def windows(found: DataFrame, length: int) -> DataFrame:
     """(k1, k2, n, bucket, pid, at): windows of those contexts of passages whose anchor has several."""
 
-    def run(b: pa.RecordBatch):
-        texts = b.column(2).cast(pa.large_binary())
-        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-        h, text, _, _ = word_hashes(data, offs - offs[0], fold=False)
+    def run(whole: pa.RecordBatch):
+        for lo, hi, data, offsets in slices(whole.column(2), CHUNK // 4):
+            yield keyed(whole.slice(lo, hi - lo), data, offsets)
+
+    def keyed(b: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        h, text, _, _ = word_hashes(data, offsets, fold=False)
         cuts = b.column(3)
         flat = cuts.flatten()
         of = np.repeat(np.arange(b.num_rows), np.diff(cuts.offsets.to_numpy()))
@@ -215,7 +217,7 @@ def windows(found: DataFrame, length: int) -> DataFrame:
         at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + first[which]
         keys = window_keys(h, begin[which] + at, length)
         pick = lambda c: pa.array(b.column(c).to_numpy()[of[which]])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n[which]), pick(1), pick(0), pa.array(at.astype(np.int32))], ["k1", "k2", "n", "bucket", "pid", "at"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n[which]), pick(1), pick(0), pa.array(at.astype(np.int32))], ["k1", "k2", "n", "bucket", "pid", "at"])
 
     return per_batch(found.where(F.exists("cuts", lambda c: c["open"])), run, "k1 long, k2 long, n long, bucket long, pid long, at int")
 
@@ -254,35 +256,50 @@ def recurring(packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 def located(phrases: list[tuple[bytes, list[tuple[int, int]]]], texts: list[list[bytes]]) -> list[np.ndarray]:
     """For each text (a list of words) which words stand in an occurrence of a phrase; phrases are runs
-    (first, n words) of passages.  An automaton takes ``SHARD`` words, and all texts run through each."""
+    (first, n words) of passages.
+
+    An automaton holds the first ``HEAD`` words of its phrases; where it finds them, the longest phrase whose other
+    words follow is marked.  It takes ``SHARD`` heads, and all texts run through each."""
     marks = [np.zeros(len(t) + 1, np.int64) for t in texts]
-    number: dict[bytes, int] = {}
-    passage = [[number.setdefault(w, len(number) + 1) for w in text.split()] for text, _ in phrases]
+
+    class Numbers(dict):
+        def __missing__(self, _):
+            return 0  # a word of no phrase
+
+    held = [text.split() for text, _ in phrases]
+    number = Numbers((w, i) for i, w in enumerate(dict.fromkeys(chain.from_iterable(held)), 1))
     as_text = len(number) < SYMBOLS
 
-    def symbols(numbers: list[int]):
+    def symbols(words: list[bytes]):
         if not as_text:
-            return tuple(numbers)
-        x = np.array(numbers, np.uint32)
-        return (x + np.where(x >= 0xD800, 0x800, 0).astype(np.uint32)).astype("<u4").tobytes().decode("utf-32-le")
-
-    passage, read = [symbols(p) for p in passage], [symbols([number.get(w, 0) for w in t]) for t in texts]
-    runs = ((k, first, n) for k, (_, cuts) in enumerate(phrases) for first, n in cuts)
-    pending = next(runs, None)
-    while pending:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_STRING if as_text else ahocorasick.KEY_SEQUENCE)
-        size = 0
-        while pending and size < SHARD:
-            k, first, n = pending
-            automaton.add_word(passage[k][first : first + n])
-            size, pending = size + n, next(runs, None)
+            return tuple(map(number.__getitem__, words))
+        x = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+        x[x >= 0xD800] += 0x800  # no character has a surrogate's number
+        return x.astype("<u4", copy=False).tobytes().decode("utf-32-le")
+
+    heads: dict = {}
+    for words, (_, cuts) in zip(held, phrases, strict=True):
+        passage = symbols(words)
+        for first, n in cuts:
+            heads.setdefault(passage[first : first + min(n, HEAD)], set()).add(passage[first : first + n])
+    read = [symbols(t) for t in texts]
+    every = [(head, sorted(own, key=len, reverse=True)) for head, own in heads.items()]
+    for at in range(0, len(every), SHARD):
+        some = every[at : at + SHARD]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING if as_text else ahocorasick.KEY_SEQUENCE)
+        for i, (head, _) in enumerate(some):
+            automaton.add_word(head, i)
         automaton.make_automaton()
         for mark, text in zip(marks, read, strict=True):
-            hits = list(automaton.iter(text)) if len(text) else []
-            if hits:
-                end, n = np.array(hits).T
-                np.add.at(mark, end - n + 1, 1)
-                np.add.at(mark, end + 1, -1)
+            for end, i in automaton.iter(text) if len(text) else ():
+                head, own = some[i]
+                start = end + 1 - len(head)
+                for phrase in own:
+                    stop = start + len(phrase)
+                    if text.startswith(phrase, start) if as_text else text[start:stop] == phrase:
+                        mark[start] += 1
+                        mark[stop] -= 1
+                        break
     return [np.cumsum(m[:-1]) > 0 for m in marks]
 
 
