@@ -32,8 +32,9 @@ from .common import checked, materialize, mix64, scratch, table
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Words of a dictionary, buckets of a bitmap (as a power of two), phrases of a trie.
 WORDS, BITS, CANDIDATES = 500_000, 27, 500_000
-#: Entries that a task gathers before it sends them, and words of a row of numbered text (more without a break).
-HELD, ROW = 2_000_000, 2048
+#: Entries that a task gathers before it sends them, places that it works on at a time, and words of a row of
+#: numbered text (more without a break).
+HELD, PLACES, ROW = 2_000_000, 1 << 18, 512
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -216,9 +217,19 @@ class Trie:
         return at, -1 - self.base[state]
 
 
-def _columns(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, prev, places whose phrase of one word more may be frequent) of every batch of rows (ids[, prev])."""
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``PLACES`` words together."""
     for b in batches:
+        ends, lo = b.column(0).offsets.to_numpy()[1:], 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PLACES, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _columns(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, prev, places whose phrase of one word more may be frequent) of every part of rows (ids[, prev])."""
+    for b in _parts(batches):
         ids = b.column(0).flatten().to_numpy()
         prev = b.column(1).flatten().to_numpy() if b.num_columns > 1 else ids
         yield ids, prev, np.flatnonzero((prev[:-1] > 0) & (prev[1:] > 0)) if len(prev) else np.zeros(0, np.int64)
@@ -351,7 +362,7 @@ def advanced(texts: DataFrame, found: list[DataFrame], k: int, most: int) -> Dat
 
         def run(batches, shipped=shipped, last=last, first=i == 0):
             trie, number = shipped.value
-            for b in batches:
+            for b in _parts(batches):
                 had = b.column(b.num_columns - 1).flatten().to_numpy() if not first else None
                 ids, prev, at = next(_columns([b]))
                 state = had.copy() if had is not None else np.zeros(len(ids), np.int32)
@@ -359,6 +370,7 @@ def advanced(texts: DataFrame, found: list[DataFrame], k: int, most: int) -> Dat
                 state[at] = number[row]
                 if not last:
                     of = b.column(0).offsets
+                    of = pa.array(of.to_numpy() - of[0].as_py())
                     cols = [pa.ListArray.from_arrays(of, pa.array(c)) for c in (ids, prev, state)]
                     yield pa.RecordBatch.from_arrays(cols, ["ids", "prev", "state"])
                     continue

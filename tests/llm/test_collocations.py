@@ -54,7 +54,7 @@ def found(spark, rows, support, **bounds):
     return sorted(map(tuple, collocations.collocations(df, support, **bounds).collect()))
 
 
-@pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"words": 7, "most_candidates": 5}), (3, {"bits": 4})])
+@pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"words": 20, "most_candidates": 150}), (3, {"bits": 9})])
 def test_collocations_equal_brute_force(spark, seed, bounds):
     """Also in many blocks of words and candidates, and with few buckets in turns."""
     rows = made(seed)
