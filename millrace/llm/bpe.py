@@ -38,10 +38,25 @@ _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # ASCII without the apostrophe falls apart into letter runs, single digits and runs of the rest.
 _ASCII = re.compile(rb"[!-&(-~]+")
 _PIECES = re.compile(rb"[a-z]+|[0-9]|[!-&(-/:-`{-~]+")
-# A capital before what may be a mark: NFC may join the two otherwise than the small letter.
-_COMPOSED = re.compile(rb"[A-Z][\xcc-\xff]")
-# How the tokenizer must treat text for white space to part its tokens.
-FITS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+# U+0300 to U+036F, the marks that NFC may join with a Latin letter: with a capital otherwise than with the small one.
+_MARK = re.compile(rb"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]")
+# All settings of the tokenizer but its vocabulary, merges and special tokens, under which white
+# space parts its tokens and units can be encoded by themselves.
+FITS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 _WHITE = b" \t\n\v\f\r"
 _GEAR = random64(256, 5)
 
@@ -72,11 +87,11 @@ class _Units(dict):
     Two generations of at most ``MAX_UNITS`` each: what is still in use moves to the new one.
     """
 
-    def __init__(self, tok):
+    def __init__(self, tok, special: re.Pattern):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tok, self.model, self.old = tok, tok.model, {}
+        self.tok, self.model, self.special, self.old = tok, tok.model, special, {}
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         # Upper-case letters of Latin-1 fold to 32 above, as the tokenizer folds them.
         fold = {c: chr(c).lower() for c in range(0xC0, 0x100)}
@@ -93,7 +108,7 @@ class _Units(dict):
                 ids = self._word(unit.decode())
             elif _LATIN.fullmatch(unit):
                 ids = self._word(unit.decode().translate(self.latin))
-            elif _ASCII.fullmatch(unit):
+            elif _ASCII.fullmatch(unit) and not self.special.search(unit):
                 ids = [i for p in _PIECES.findall(unit) for i in self._word(p.decode())]
             else:
                 ids = self.tok.encode(unit.decode(), add_special_tokens=False).ids
@@ -141,13 +156,14 @@ class Codec:
         tok.no_padding()
         tok.no_truncation()
         parts = json.loads(tok.to_str())
-        steps = lambda x, of: [y["type"] for y in x[of]] if x and of in x else []
-        kinds = steps(parts["normalizer"], "normalizers"), steps(parts["pre_tokenizer"], "pretokenizers")
-        if kinds != FITS or parts["pre_tokenizer"]["pretokenizers"][0]["behavior"] != "Removed" or parts["post_processor"]:
-            raise ValueError(f"{path}: white space does not part this tokenizer's tokens")
+        model = {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")}
+        special = [t["content"].encode() for t in parts["added_tokens"]]
+        plain = all(not t[k] for t in parts["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if {k: parts[k] for k in FITS} | {"model": model} != FITS or not plain or any(re.search(rb"[\s.,]|[^!-~]", t) for t in special):
+            raise ValueError(f"{path}: white space does not part this tokenizer's tokens as the units here take it")
         self.tok = tok
-        self.units = _Units(tok)
-        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in tok.get_added_tokens_decoder().values()) or rb"(?!)")
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
+        self.units = _Units(tok, self.special)
         vocab = tok.get_vocab()
         self.text = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
@@ -163,9 +179,6 @@ class Codec:
         are joined by blanks."""
         return b"".join([self.text[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-    def whole(self, data: bytes) -> bytes:
-        return packed(self.tok.encode(data.decode(), add_special_tokens=False).ids)
-
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
         """(bytes before the first white space, ids of the units inside, bytes after the last one);
         no ids without white space.  Kept chunks are not encoded again."""
@@ -219,23 +232,31 @@ class Codec:
             raw = data.tobytes()
             cuts = cut_points(data)
             place = np.searchsorted(cuts, offs)
-            low, blanks = _spaced(np.frombuffer(raw.lower(), np.uint8), offs)
+            low, blanks = _spaced(self._folded(raw, data, offs), offs)
             moved = offs + np.searchsorted(blanks, offs)
             cuts_at = cuts + np.searchsorted(blanks, cuts)
             low = low.tobytes()
-            odd = bool(self.special.search(low)) or bool(_COMPOSED.search(raw))
             for r in range(hi - lo):
-                if odd:
-                    text = raw[offs[r] : offs[r + 1]]
-                    if self.special.search(text.lower()) or _COMPOSED.search(text):
-                        # Special tokens and marks on capitals count in their own case.
-                        yield lo + r, self.whole(text)
-                        continue
                 a, b = int(moved[r]), int(moved[r + 1])
                 # A hash that reaches over the text's start would depend on the text before.
                 own = cuts_at[place[r] : place[r + 1]][cuts[place[r] : place[r + 1]] >= offs[r] + WINDOW] - a
                 yield lo + r, self.encode(low[a:b], own[own < b - a].tolist())
 
+    def _folded(self, raw: bytes, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The bytes with small letters for A-Z, but for units with marks or special tokens: these count in their
+        own case, and the tokenizer encodes them."""
+        low = bytearray(raw.lower())
+        odd = [m.start() for p, where in ((_MARK, raw), (self.special, bytes(low))) for m in p.finditer(where)]
+        if odd:
+            edge = np.zeros(len(data) + 1, bool)
+            edge[:-1] = np.isin(data, np.frombuffer(_WHITE, np.uint8))
+            starts = np.unique(np.concatenate([np.flatnonzero(edge) + 1, offs]))
+            ends = np.unique(np.concatenate([np.flatnonzero(edge), offs]))
+            first = np.unique(starts[np.searchsorted(starts, odd, "right") - 1])
+            for a, b in zip(first.tolist(), ends[np.searchsorted(ends, first, "right")].tolist(), strict=True):
+                low[a:b] = raw[a:b]
+        return np.frombuffer(bytes(low), np.uint8)
+
 
 _codecs: dict[str, Codec] = {}
 

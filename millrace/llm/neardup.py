@@ -359,6 +359,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates on 4-word shingles; one row of each, of the smallest doc_id, is kept.
 
     Null, empty and blank texts link with nothing and are kept; rows that repeat a doc_id or lack
-    one are documents of their own; an empty table gives no rows.  Extra columns are not read.
+    one are documents of their own; an empty table gives no rows.  ``kept`` goes by doc_id, so rows
+    that share the smallest one are all kept; ``row_kept`` has a single row of each component.  Extra
+    columns are not read.
     """
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    by_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", by_id.alias("kept"), F.col("kept").alias("row_kept"))

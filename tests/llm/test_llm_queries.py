@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -92,7 +93,7 @@ def test_chain_is_one_component(spark):
     assert got == brute_components(rows, 4) and {c for _, c in got.values()} == {71}
 
 
-def test_rows_that_repeat_or_lack_a_doc_id(spark):
+def test_rows_that_repeat_or_lack_a_doc_id(spark, stored):
     """Copies go by row: without a doc_id, with an equal one, and with one that stands on two texts."""
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
     rows = [
@@ -107,6 +108,12 @@ def test_rows_that_repeat_or_lack_a_doc_id(spark):
     assert sorted(map(key, found)) == sorted([(1, 57, 1)] * 3 + [(0, 57, 1), (7, 57, 1), (7, 57, 7), (8, 58, 7), (0, 57, 0), (0, 58, 0), (0, 57, 0), (0, 0, 0), (9, 0, 9)])
     kept = [key(r) for r in found if r["kept"]]
     assert len(kept) == 6 and {(1, 57, 1), (7, 57, 7), (0, 0, 0), (9, 0, 9)} <= set(kept)
+    query = lambda *rows: sorted((tuple(r) for r in neardup.op2_near_duplicates(spark, stored(documents=spark.createDataFrame(rows, "doc_id long, text string"))).collect()), key=repr)
+    a, b = text("a"), text("b")
+    got = query((1, a), (1, a), (2, a + " z"), (3, b), (3, b), (None, None), (4, "x"))
+    # kept by doc_id, as the query's rule has it; row_kept tells the one row of each component.
+    assert [r[:4] for r in got] == sorted([(1, 57, 1, True)] * 2 + [(2, 58, 1, False)] + [(3, 57, 3, True)] * 2 + [(None, 0, None, True), (4, 1, 4, True)], key=repr)
+    assert sum(r[4] for r in got) == 4
     left = sorted(((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()), key=repr)
     c = [r for r in left if r[1] and r[1].startswith("c")]
     assert len(c) == 1 and sorted([r for r in left if r not in c], key=repr) == sorted([(1, text("a"), "w"), (7, text("b"), "x"), rows[9], rows[10], rows[11]], key=repr)
@@ -251,9 +258,43 @@ def test_chunks_are_reused_across_documents(spark):
     assert c.reused > 0.85 * c.seen
 
 
-def test_tokenizers_that_do_not_fit_are_refused():
+def test_tokenizers_that_do_not_fit_are_refused(tmp_path):
     with pytest.raises(ValueError):
         bpe.Codec(bpe.tokenizer_path("byte_bpe_50k.json"))
+    changes = {
+        "split": lambda t: t["pre_tokenizer"]["pretokenizers"][0].update(pattern={"String": " "}),
+        "invert": lambda t: t["pre_tokenizer"]["pretokenizers"][0].update(invert=False),
+        "prefix": lambda t: t["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+        "replace": lambda t: t["normalizer"]["normalizers"][1].update(content=""),
+        "suffix": lambda t: t["model"].update(end_of_word_suffix=""),
+        "dropout": lambda t: t["model"].update(dropout=0.5),
+        "strip": lambda t: t["added_tokens"][0].update(lstrip=True),
+        "decoder": lambda t: t.update(decoder={"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}),
+    }
+    for name, change in changes.items():
+        with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+            parts = json.load(f)
+        change(parts)
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(parts), encoding="utf-8")
+        with pytest.raises(ValueError, match=name):
+            bpe.Codec(str(path))
+
+
+def test_no_text_leaves_the_chunks(tokenizer):
+    """Typographic signs, other scripts, marks and special tokens: chunks are read, and reused, in all of them."""
+    import pyarrow as pa
+
+    words = [
+        "I\u2019m sure", "\u201cX\u201d A\u2014B", "\u041f\u0440\u0438\u0432\u0435\u0442 \u041c\u0438\u0440.", "A\u65e5\u672c B\u8a9e", "H\u0331x Ho\u0331. a\u0301 E\u0301", "x<|endoftext|>Y <|EndOfText|>.",
+        "H\u05b0\u0331 Q\u20dd\u0331 \u212a\u0331 I\u0307. H\u3000\u0331x",
+    ]
+    for word in words:
+        text = " ".join(f"{word} plain words number {i * i}," for i in range(300))
+        c = bpe.Codec(bpe.tokenizer_path())
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert [i for _, i in c.encode_batch(pa.array([text, text]))] == [want, want], word
+        assert c.seen > 4 and 2 * c.reused >= c.seen, word
 
 
 def test_chunks_are_cut_by_content():
