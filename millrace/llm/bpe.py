@@ -35,8 +35,8 @@ MAX_UNITS, MAX_CHUNK_BYTES = 400_000, 32 << 20
 MAX_UNIT_BYTES = 64
 
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-# ASCII without the apostrophe falls apart into letter runs, single digits and runs of the rest.
-_ASCII = re.compile(rb"[!-&(-~]+")
+# ASCII without the apostrophe and capitals falls apart into letter runs, single digits and runs of the rest.
+_ASCII = re.compile(rb"[!-&(-@\[-~]+")
 _PIECES = re.compile(rb"[a-z]+|[0-9]|[!-&(-/:-`{-~]+")
 # U+0300 to U+036F, the marks that NFC may join with a Latin letter: with a capital otherwise than with the small one.
 _MARK = re.compile(rb"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]")
