@@ -240,16 +240,17 @@ def _key(prev: np.ndarray, at: np.ndarray) -> np.ndarray:
     return prev[at].astype(np.uint64) << np.uint64(32) | prev[at + 1].astype(np.uint64)
 
 
-def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn: int) -> np.ndarray:
-    """A bit for each of 2**bits buckets: whether the phrases in it occur ``support`` times together."""
+def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn: int) -> DataFrame:
+    """(bucket, lo, hi): buckets whose phrases occur ``support`` times together, and their least and largest key."""
 
     def count(batches):
         held, size = [], 0
         for _, prev, at in _columns(batches):
-            h = mix64(_key(prev, at))
-            h = h[h % np.uint64(rounds) == turn] if rounds > 1 else h
-            held.append((h >> np.uint64(64 - bits)).astype(np.int32))
-            size += len(h)
+            key = _key(prev, at)
+            if rounds > 1:
+                key = key[mix64(key) % np.uint64(rounds) == turn]
+            held.append(key)
+            size += len(key)
             if size > HELD:
                 yield out(held)
                 held, size = [], 0
@@ -257,10 +258,19 @@ def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn:
             yield out(held)
 
     def out(held):
-        bucket, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int32))], ["bucket", "n"])
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (mix64(key) >> np.uint64(64 - bits)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["bucket", "key", "n"])
 
-    def bitmaps(batches):
+    counts = texts.mapInArrow(count, "bucket int, key long, n int").groupBy("bucket")
+    counts = counts.agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    return materialize(counts.where(F.col("n") >= support).select("bucket", "lo", "hi"), "heavy")
+
+
+def bitmap_of(buckets: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of 2**bits buckets, packed by tasks in blocks of 2**16."""
+
+    def packed(batches):
         found: dict[int, np.ndarray] = {}
         for b in batches:
             block, bucket = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -269,46 +279,67 @@ def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn:
         for k, bit in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bit).tobytes()], pa.binary())], ["block", "bits"])
 
-    heavy = texts.mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    heavy = materialize(heavy.select(F.shiftright("bucket", 16).alias("block"), "bucket"), "heavy")
     bitmap = np.zeros(max(1 << bits >> 3, 1 << 13), np.uint8)
-    for r in heavy.repartition("block").mapInArrow(bitmaps, "block int, bits binary").collect():
+    blocks = buckets.select(F.shiftright("bucket", 16).alias("block"), "bucket").repartition("block")
+    for r in blocks.mapInArrow(packed, "block int, bits binary").collect():
         bitmap[r["block"] << 13 : r["block"] + 1 << 13] = np.frombuffer(r["bits"], np.uint8)
     return bitmap
 
 
-def candidates(texts: DataFrame, k: int, support: int, occurrences: int, most_bits: int) -> list[DataFrame]:
-    """Tables (w1 .. wk) of distinct phrases, among them all that occur ``support`` times.
+def candidates(texts: DataFrame, shorter: list[DataFrame], k: int, support: int, occurrences: int, most_bits: int) -> list[DataFrame]:
+    """Tables (w1 .. wk) of distinct phrases, among them all that occur ``support`` times; ``shorter`` has the
+    frequent phrases of k - 1 words (id, w1 ..), if these are not words themselves.
 
-    There are about as many buckets as occurrences, up to 2**most_bits; beyond that, hashes take turns."""
+    There are about as many buckets as occurrences, up to 2**most_bits; beyond that, hashes take turns.  A
+    heavy bucket of one phrase names it by its key; only for those that phrases share the texts are
+    searched again.
+    """
     bits = min(most_bits, max(16, int(occurrences).bit_length()))
     rounds = max(1, int(occurrences) >> (bits + 3))
     names, out = [f"w{j + 1}" for j in range(k)], []
     for turn in range(rounds):
-        shipped = texts.sparkSession.sparkContext.broadcast(heavy_buckets(texts, support, bits, rounds, turn))
-
-        def run(batches, shipped=shipped, turn=turn):
-            bitmap = shipped.value
-            seen = np.zeros(0, np.uint64)
-            for ids, prev, at in _columns(batches):
-                key = _key(prev, at)
-                h = mix64(key)
-                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-                use = (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
-                if rounds > 1:
-                    use &= h % np.uint64(rounds) == turn
-                key, where = np.unique(key[use], return_index=True)
-                new = ~np.isin(key, seen)
-                key, at = key[new], at[use][where[new]]
-                seen = np.concatenate([seen if len(seen) < HELD else seen[:0], key])
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + j]) for j in range(k)], names)
-
-        found = texts.mapInArrow(run, ", ".join(f"{n} int" for n in names)).distinct()
+        heavy = heavy_buckets(texts, support, bits, rounds, turn)
+        first, last = F.shiftright("lo", 32), F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF))
+        found = heavy.where("lo = hi").select(first.cast("int").alias("w1"), last.cast("int").alias(f"w{k}"))
+        if k > 2:
+            every = shorter[0]
+            for part in shorter[1:]:
+                every = every.unionByName(part)
+            begin = every.select(F.col("id").alias("begin"), *[F.col(n).cast("int").alias(n) for n in names[:-1]])
+            end = every.select(F.col("id").alias("end"), F.col(names[-2]).cast("int").alias(names[-1]))
+            pair = found.select(F.col("w1").alias("begin"), F.col(f"w{k}").alias("end"))
+            found = pair.join(checked(begin), "begin").join(checked(end), "end").select(*names)
+        shared = heavy.where("lo <> hi")
+        if not shared.isEmpty():
+            found = found.unionByName(_searched(texts, k, bitmap_of(shared, bits), bits, rounds, turn).distinct())
         out.append(materialize(found, f"candidates-{k}"))
     return out
 
 
+def _searched(texts: DataFrame, k: int, bitmap: np.ndarray, bits: int, rounds: int, turn: int) -> DataFrame:
+    """(w1 .. wk) of the phrases in the buckets of a bitmap, some more than once."""
+    shipped, names = texts.sparkSession.sparkContext.broadcast(bitmap), [f"w{j + 1}" for j in range(k)]
+
+    def run(batches):
+        bit = shipped.value
+        seen = np.zeros(0, np.uint64)
+        for ids, prev, at in _columns(batches):
+            key = _key(prev, at)
+            h = mix64(key)
+            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+            use = (bit[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            if rounds > 1:
+                use &= h % np.uint64(rounds) == turn
+            key, where = np.unique(key[use], return_index=True)
+            new = ~np.isin(key, seen)
+            key, at = key[new], at[use][where[new]]
+            seen = np.concatenate([seen if len(seen) < HELD else seen[:0], key])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + j]) for j in range(k)], names)
+
+    return texts.mapInArrow(run, ", ".join(f"{n} int" for n in names))
+
+
 def _matrix(rows: pa.Table, k: int) -> np.ndarray:
     return np.stack([rows[f"w{j + 1}"].to_numpy() for j in range(k)], 1).astype(np.int64)
 
@@ -408,9 +439,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         known = known.unionByName(v)
     names = checked(known.select("id", "lang", "word"))
     texts = numbered(docs, vocabulary)
-    occurrences = common.agg(F.sum("n")).first()[0]
+    occurrences, found = common.agg(F.sum("n")).first()[0], []
     for k in range(2, longest + 1):
-        found = frequent(texts, candidates(texts, k, support, occurrences, bits), k, support, many, most_candidates)
+        found = frequent(texts, candidates(texts, found, k, support, occurrences, bits), k, support, many, most_candidates)
         if not found:
             break
         for part in found:
