@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import SPEC, PanelSpec, coerce_time
 
-#: Years of the holiday dimension, which so has a fixed number of rows.
-FIRST_YEAR, LAST_YEAR = 1995, 2100
-
-# Nation-wide holidays as (month, day) or days from Easter Sunday.
-FIXED_HOLIDAYS = (("Neujahr", 1, 1), ("Tag der Arbeit", 5, 1), ("Tag der Deutschen Einheit", 10, 3), ("1. Weihnachtstag", 12, 25), ("2. Weihnachtstag", 12, 26))
-EASTER_HOLIDAYS = (("Karfreitag", -2), ("Ostermontag", 1), ("Christi Himmelfahrt", 39), ("Pfingstmontag", 50))
-SINGLE_HOLIDAYS = (("Reformationstag", 2017, 10, 31),)
+# Nation-wide holidays with their first and last year (None: no bound): on (month, day), so many days
+# from Easter Sunday, or the last weekday (Monday 0) before (month, day).
+FIXED_HOLIDAYS = (
+    ("Neujahr", 1, 1, None, None), ("Tag der Arbeit", 5, 1, None, None), ("Tag der deutschen Einheit", 6, 17, 1954, 1990), ("Tag der Deutschen Einheit", 10, 3, 1990, None),
+    ("Reformationstag", 10, 31, 2017, 2017), ("1. Weihnachtstag", 12, 25, None, None), ("2. Weihnachtstag", 12, 26, None, None),
+)
+EASTER_HOLIDAYS = (("Karfreitag", -2, None, None), ("Ostermontag", 1, None, None), ("Christi Himmelfahrt", 39, None, None), ("Pfingstmontag", 50, None, None))
+WEEKDAY_HOLIDAYS = (("Bu\u00df- und Bettag", 2, 11, 23, 1981, 1994),)
 
 
 def calendar_features(df: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
@@ -49,32 +50,37 @@ def easter(year: Column) -> Column:
     return F.next_day(full_moon, "Sun")
 
 
-def holidays(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """(date, holiday_name), one row for each holiday of the years ``first`` to ``last``."""
-    years = spark.range(first, last + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
-    sunday = easter(F.col("year"))
-    day = lambda name, date: F.struct(date.alias("date"), F.lit(name).alias("holiday_name"))
-    all_ = [day(n, F.make_date("year", F.lit(m), F.lit(d))) for n, m, d in FIXED_HOLIDAYS]
-    all_ += [day(n, F.date_add(sunday, k)) for n, k in EASTER_HOLIDAYS]
-    out = years.select(F.explode(F.array(*all_)).alias("h")).select("h.*")
-    for name, y, m, d in SINGLE_HOLIDAYS:
-        if first <= y <= last:
-            out = out.union(spark.range(1).select(F.make_date(F.lit(y), F.lit(m), F.lit(d)), F.lit(name)))
+def _dates(year: Column) -> list[tuple[str, Column]]:
+    """(name, its date in ``year``, null where the rule does not hold) of every rule."""
+    sunday = easter(year)
+    days = [(n, F.make_date(year, F.lit(m), F.lit(d)), lo, hi) for n, m, d, lo, hi in FIXED_HOLIDAYS]
+    days += [(n, F.date_add(sunday, k), lo, hi) for n, k, lo, hi in EASTER_HOLIDAYS]
+    for n, weekday, m, d, lo, hi in WEEKDAY_HOLIDAYS:
+        day = F.make_date(year, F.lit(m), F.lit(d))
+        days.append((n, F.date_sub(day, F.pmod(F.weekday(day) - weekday - 1, F.lit(7)) + 1), lo, hi))
+    holds = lambda lo, hi: (F.lit(True) if lo is None else year >= lo) & (F.lit(True) if hi is None else year <= hi)
+    return [(n, F.when(holds(lo, hi), day)) for n, day, lo, hi in days]
+
+
+def holidays(years: DataFrame) -> DataFrame:
+    """(date, holiday_name), one row for each holiday of the years in ``years`` (year int): a dimension to join."""
+    days = F.array(*[F.struct(date.alias("date"), F.lit(n).alias("holiday_name")) for n, date in _dates(F.col("year"))])
+    out = years.select("year").distinct().select(F.explode(days).alias("h")).select("h.*").where("date is not null")
     # Ascension can fall on 1 May: one row for a date.
     return out.groupBy("date").agg(F.min("holiday_name").alias("holiday_name"))
 
 
+def holiday_name(day: Column) -> Column:
+    """Name of the holiday on a date, null on other days: the first in order of those on one date."""
+    return F.least(*[F.when(date == day, F.lit(n)) for n, date in _dates(F.year(day))])
+
+
 def holiday_features(df: DataFrame, spec: PanelSpec = SPEC, include_name: bool = False) -> DataFrame:
     """``is_holiday_de`` (0 for null dates) and, if asked for, ``holiday_name``.
 
-    Dates before 1995, when other rules held, and beyond the dimension's last year have null.
+    Each row's own year gives its holidays, by rules with a first and a last year: no table of years, no scan for
+    their range and no join.
     """
-    h = holidays(df.sparkSession).select(F.col("date").alias("__day"), F.col("holiday_name").alias("__name"))
-    d = coerce_time(df, spec.time_col)
-    day = F.col(spec.time_col).cast("date")
-    d = d.join(F.broadcast(h), day == F.col("__day"), "left")
-    known = day.isNull() | F.year(day).between(FIRST_YEAR, LAST_YEAR)
-    d = d.withColumn("is_holiday_de", F.when(known, F.col("__day").isNotNull().cast("byte")))
-    if include_name:
-        d = d.withColumn("holiday_name", F.col("__name"))
-    return d.drop("__day", "__name")
+    d = coerce_time(df, spec.time_col).withColumn("__name", holiday_name(F.col(spec.time_col).cast("date")))
+    d = d.withColumn("is_holiday_de", F.col("__name").isNotNull().cast("byte"))
+    return (d.withColumn("holiday_name", F.col("__name")) if include_name else d).drop("__name")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import SPEC, PanelSpec, dimension, require
+from .ranges import OWN, RANGE, RANGE_ROWS, in_ranges
 from .split import softplus_inverse
 
 # Calendar columns that are known in advance, in a fixed order.
@@ -48,14 +49,14 @@ def feature_roles(df: DataFrame, spec: PanelSpec = SPEC, known_prefixes: Sequenc
     return FeatureRoles([c for c in spec.id_cols if c in df.columns], known, unknown)
 
 
-def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str] = ("split",), encoder: int = ENCODER, decoder: int = DECODER, time_idx: str = "time_idx", stride: int = 1, roles: FeatureRoles | None = None) -> DataFrame:
+def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str] = ("split",), encoder: int = ENCODER, decoder: int = DECODER, time_idx: str = "time_idx", stride: int = 1, roles: FeatureRoles | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Sliding samples of ``encoder`` past and ``decoder`` future targets for each series.
 
     One row for each sample: ``within`` and id columns, the time index of the first future
     step, encoder and decoder arrays.  With ``roles``, encoder_{c} of every known and unknown real and
     decoder_{c} of every known one stand beside them, missing values as null.  A sample's
     indexes are consecutive and lie in one part (``within``); a missing target leaves no sample.
-    ``stride`` keeps every so many indexes.
+    ``stride`` keeps every so many indexes; ``carry`` names columns of the last past step to be kept.
     """
     keys, y = [*within, *spec.id_cols], spec.target_col
     known = [c for c in (roles.known_reals if roles else []) if c != y]
@@ -64,11 +65,11 @@ def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str
     # Names of their own: a role may be an id or the time index as well.
     fields = {"target": y} | {c: c for c in dict.fromkeys(reals)}
     value = lambda c: F.col(fields[c]).try_cast("float").alias(c)
-    rows = df.select(*keys, F.col(time_idx).alias("__at"), F.struct(value("target"), *[value(c) for c in dict.fromkeys(known)]).alias("__next"), F.struct(*[value(c) for c in fields]).alias("__row"))
+    rows = df.select(*keys, *carry, F.col(time_idx).alias("__at"), F.struct(value("target"), *[value(c) for c in dict.fromkeys(known)]).alias("__next"), F.struct(*[value(c) for c in fields]).alias("__row"))
     w = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_last())
     past, future, whole = w.rowsBetween(-(encoder - 1), 0), w.rowsBetween(1, decoder), w.rowsBetween(-(encoder - 1), decoder)
     d = rows.select(
-        *keys, (F.col("__at") + 1).alias(time_idx),
+        *keys, *carry, (F.col("__at") + 1).alias(time_idx),
         F.collect_list("__row").over(past).alias("__enc"), F.collect_list("__next").over(future).alias("__dec"),
         (F.max("__at").over(whole) - F.min("__at").over(whole)).alias("__span"),
         F.count("__at").over(whole).alias("__n"), F.count("__row.target").over(whole).alias("__set"),
@@ -79,7 +80,16 @@ def training_samples(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str
         d = d.where(F.col(time_idx) % stride == 0)
     arrays = [F.col("__enc.target").alias("encoder"), F.col("__dec.target").alias("decoder")]
     arrays += [F.col("__enc")[c].alias(f"encoder_{c}") for c in dict.fromkeys(reals)] + [F.col("__dec")[c].alias(f"decoder_{c}") for c in dict.fromkeys(known)]
-    return d.select(*keys, time_idx, *arrays)
+    return d.select(*keys, *carry, time_idx, *arrays)
+
+
+def samples_by_ranges(df: DataFrame, spec: PanelSpec = SPEC, within: Sequence[str] = ("split",), encoder: int = ENCODER, decoder: int = DECODER, time_idx: str = "time_idx", rows: int = RANGE_ROWS, **options) -> DataFrame:
+    """``training_samples``, with a series in more than one task: its ranges overlap by the length of a sample."""
+    keys = [*within, *spec.id_cols]
+    d = in_ranges(df, PanelSpec(time_idx, tuple(keys), spec.target_col, (spec.time_col,)), encoder - 1, decoder, rows)
+    own = replace(spec, id_cols=(*spec.id_cols, RANGE))
+    d = training_samples(d, own, within, encoder, decoder, time_idx, carry=(OWN,), **options)
+    return d.where(OWN).drop(RANGE, OWN)
 
 
 def normalize_samples(samples: DataFrame, normalizer: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:

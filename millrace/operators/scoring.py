@@ -60,6 +60,24 @@ def run_summary(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch") ->
     )
 
 
+def run_results(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
+    """One row for each run: (run, results), its epochs in order as structs (epoch, train_loss, val_loss,
+    learning_rate); a missing value is null, which JSON leaves out.  A run's epochs stand in one row."""
+    item = F.struct(F.col(epoch).cast("int").alias("epoch"), "train_loss", "val_loss", F.col("lr").alias("learning_rate"))
+    return epochs.groupBy(run).agg(F.sort_array(F.collect_list(item)).alias("results"))
+
+
+def nested_summary(epochs: DataFrame, logs_dir: Column | None = None, meta: dict[str, str] | None = None, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
+    """``run_summary`` with its figures in a struct ``metrics``, beside where the run's logs lie and what else is
+    known of the runs (``meta``); missing figures are null, which JSON leaves out."""
+    s = run_summary(epochs, run, epoch)
+    metrics = [c for c in s.columns if c not in (run, "n_epochs")]
+    pairs = [F.lit(x) for kv in (meta or {}).items() for x in kv]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    where = logs_dir if logs_dir is not None else F.lit(None).cast("string")
+    return s.select(run, where.alias("logs_dir"), F.col("n_epochs").cast("int").alias("n_epochs"), F.struct(*metrics).alias("metrics"), known.alias("meta"))
+
+
 def compare_runs(summary: DataFrame, run: str = "run_id") -> DataFrame:
     """Runs by best validation loss, those without one last."""
     return summary.orderBy(F.col("best_val_loss").asc_nulls_last(), run)

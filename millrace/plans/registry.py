@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, cyclical
-from ..operators import align, audit, clean, join, lags, samples, scoring, split
+from ..operators import align, audit, clean, join, lags, ranges, samples, scoring, split
 from ..sources import io
 from ..spec import SPEC, PanelSpec, coerce_time, column_report
 from ..storage import new_path, stored
@@ -178,6 +178,38 @@ def fill_lag_gaps(spark, sf_dir):
     return lags.fill_lag_gaps(lags.lag_features(panel(spark, sf_dir), lags=(14,), rolling=()))
 
 
+_WIDE = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp", "count": "count"}
+_YEAR_BACK = f"OVER ({W} ROWS BETWEEN 365 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"WITH {PANEL} SELECT date, {IDS}, num_sold, " + ", ".join(f"CAST(round({f}(num_sold) {_YEAR_BACK}, 4) AS DOUBLE) AS lag_365_{s}" for s, f in _WIDE.items()) + f", round(var_samp(num_sold) {_YEAR_BACK} * count(num_sold) {_YEAR_BACK} * (count(num_sold) {_YEAR_BACK} - 1), 0) AS lag_365_spread FROM panel")
+def rolling_wide(spark, sf_dir):
+    """A year's statistics, put together from blocks; the variance as n (n - 1) times itself, a whole number."""
+    d = lags.lag_features(panel(spark, sf_dir), lags=(), rolling=[(365, s) for s in (*_WIDE, "var")])
+    n = F.col("lag_365_count").cast("double")
+    d = d.withColumns({"lag_365_spread": F.round(F.col("lag_365_var") * n * (n - 1), 0) + F.lit(0.0), "lag_365_count": n}).drop("lag_365_var")
+    return rounded(d, *[f"lag_365_{s}" for s in _WIDE if s != "count"])
+
+
+_ONE = PanelSpec("ts", ("series",), "y", ("event_id",))
+
+
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'click' THEN value END AS y0 FROM events),
+f AS (SELECT event_id, ts, coalesce(y0, (coalesce(a, 0) + coalesce(b, 0)) / nullif(CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT), 0)) AS y
+  FROM (SELECT *, lag(y0, 365) OVER w AS a, lag(y0, 730) OVER w AS b FROM e WINDOW w AS (ORDER BY ts, event_id)))
+SELECT event_id, ts, round(y, 4) AS y, round(lag(y, 1) OVER w, 4) AS lag_1, round(lag(y, 14) OVER w, 4) AS lag_14, round(sum(y) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 4) AS lag_28_sum,
+  round(max(y) OVER (w ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), 4) AS lag_100_max FROM f WINDOW w AS (ORDER BY ts, event_id)""")
+def long_series_features(spark, sf_dir):
+    """All events as one series, filled and lagged in ranges of 1,000 rows."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.lit("all").alias("series"), F.when(F.col("event_type") != "click", F.col("value")).alias("y"))
+
+    def step(d, spec):
+        return lags.lag_features(clean.fill_seasonal(d, spec), spec, (1, 14), ((28, "sum"), (100, "max")))
+
+    d = ranges.by_ranges(e, step, _ONE, before=730 + 100, rows=1000).drop("series")
+    return rounded(d, "y", "lag_1", "lag_14", "lag_28_sum", "lag_100_max")
+
+
 def _parts(spark, sf_dir):
     p = panel(spark, sf_dir, keep=True)
     val, test = split.boundaries(p)
@@ -229,6 +261,21 @@ def series_normalizer(spark, sf_dir):
     return rounded(split.series_normalizer(d.where("split = 'train'")), "center", "scale")
 
 
+_HALF = "1998-01-01"
+
+
+@query(f"""WITH {PANEL}, {_BOUNDS}
+SELECT {IDS}, count(num_sold) AS n, round(avg(num_sold), 4) AS num_sold__mean, round(stddev_samp(num_sold), 4) AS num_sold__std FROM parts WHERE split = 'train' GROUP BY ALL""")
+def merged_statistics(spark, sf_dir):
+    """Moments of the training rows before a date, merged with those from then on."""
+    d = _parts(spark, sf_dir)[0].where("split = 'train'")
+    late = F.col("date") >= F.lit(_HALF).cast("timestamp_ntz")
+    old, new = (stored(split.series_moments(x, ["num_sold"]), "moments") for x in (d.where(~late), d.where(late)))
+    both = split.merge_moments(old, new, ["num_sold"])
+    out = split.moment_stats(both, ["num_sold"]).join(both.select(*SPEC.id_cols, F.col("num_sold__n").alias("n")), list(SPEC.id_cols))
+    return rounded(out, "num_sold__mean", "num_sold__std")
+
+
 @query(f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT date, '{d}' AS dimension, {d} AS member, sum(num_sold) AS total FROM panel GROUP BY date, {d}" for d in ("product", "store", "country")))
 def daily_totals(spark, sf_dir):
     return audit.daily_totals(panel(spark, sf_dir))
@@ -349,13 +396,24 @@ SELECT split, {IDS}, time_idx, CAST(len(e) AS INTEGER) AS n_encoder, list_sum(e)
 FROM s WHERE len(e) = 28 AND len(d) = 7 AND span = 34""")
 def training_samples(spark, sf_dir):
     p = panel(spark, sf_dir, dense=True, keep=True)
-    d = features.sample_table(calendar.time_index(p))
+    return _described(features.sample_table(calendar.time_index(p)))
+
+
+def _described(d: DataFrame) -> DataFrame:
     size = lambda c: F.size(c).alias(f"n_{c}")
     sum_ = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")).alias(f"{c}_sum")
     end = lambda c, i, n: F.element_at(c, i).cast("double").alias(f"{c}_{n}")
     return d.select("split", *SPEC.id_cols, "time_idx", *[x for c in ("encoder", "decoder") for x in (size(c), sum_(c), end(c, 1, "first"), end(c, -1, "last"))])
 
 
+@query(SQL["training_samples"])
+def range_samples(spark, sf_dir):
+    """The same samples, from ranges of 300 rows."""
+    p = panel(spark, sf_dir, dense=True, keep=True)
+    val, test = split.boundaries(p)
+    return _described(samples.samples_by_ranges(split.assign_split(calendar.time_index(p), val, test), rows=300))
+
+
 @query(f"""WITH {PANEL}, {FACTORS}, {_cleaned('aligned')}, {_HOLIDAYS}
 SELECT date, {IDS}, round(num_sold, 4) AS num_sold, is_lockdown_period, {_CALENDAR}, {_TIME_IDX},
   CAST(CASE WHEN d IS NULL THEN 0 ELSE 1 END AS TINYINT) AS is_holiday_de, {_cyclical(BERLIN.format("date"))},
@@ -372,12 +430,16 @@ def full_pipeline(spark, sf_dir):
 @query(f"""WITH {PANEL} SELECT CASE WHEN store = 'R' THEN NULL ELSE date END AS date, {IDS}, CASE WHEN product = 'F' THEN num_sold END AS num_sold FROM panel""")
 def csv_round_trip(spark, sf_dir):
     """Text dates and numbers, some unreadable, through a CSV with a header."""
-    p, path = panel(spark, sf_dir), new_path(spark, "sales")
-    p = p.withColumns({"date": F.when(F.col("store") == "R", "no date").otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")), "num_sold": F.when(F.col("product") == "F", F.col("num_sold").cast("string")).otherwise("many")})
-    p.write.option("header", True).csv(path)
+    path = new_path(spark, "sales")
+    _sales_csv(spark, sf_dir, path)
     return io.read_sales_csv(spark, path)
 
 
+def _sales_csv(spark, sf_dir, path):
+    p = panel(spark, sf_dir).withColumns({"date": F.when(F.col("store") == "R", "no date").otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")), "num_sold": F.when(F.col("product") == "F", F.col("num_sold").cast("string")).otherwise("many")})
+    p.write.option("header", True).csv(path)
+
+
 @query(f"WITH {PANEL} SELECT panel.*, k.kind FROM panel, (VALUES ('PARQUET'), ('csv')) k(kind)")
 def tables_by_suffix(spark, sf_dir):
     """A stage table, sorted within its files, read by suffix in either format."""
@@ -389,23 +451,60 @@ def tables_by_suffix(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+@query(f"""WITH {PANEL}, bad AS (SELECT 'date' AS "column", 'no date' AS raw FROM panel WHERE store = 'R' UNION ALL SELECT 'num_sold', 'many' FROM panel WHERE product <> 'F')
+SELECT "column", raw, count(*) AS n FROM bad GROUP BY ALL""")
+def csv_rejects(spark, sf_dir):
+    """What a CSV has that is no date or no number, counted by its text."""
+    path = new_path(spark, "sales")
+    _sales_csv(spark, sf_dir, path)
+    return io.read_checked_csv(spark, path)[1]
+
+
 @query(f"WITH {PANEL}, {_BOUNDS} SELECT split, date, {IDS}, num_sold FROM parts")
 def split_files(spark, sf_dir):
     d, path = _parts(spark, sf_dir)[0], new_path(spark, "splits")
-    io.write_splits(d, path)
+    split.check_parts(io.write_splits(d, path))
     return spark.read.parquet(path).select("split", "date", *SPEC.id_cols, "num_sold")
 
 
 @query(f"""WITH {PANEL}, {_BOUNDS} SELECT strftime(any_value(v), '%Y-%m-%d') AS val_start, strftime(any_value(t), '%Y-%m-%d') AS test_start, 'panel' AS source, 'num_sold' AS scaled,
 count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test FROM parts, bounds""")
 def manifest_json(spark, sf_dir):
+    """The manifest of written parts, with the counts of the writing pass."""
     d, val, test = _parts(spark, sf_dir)
     path = new_path(spark, "manifest")
-    io.write_json(split.split_manifest(d, val, test, source="panel", scaled_cols=["num_sold"]), path)
+    seen = io.write_splits(d, new_path(spark, "splits"))
+    io.write_json(split.manifest_of(spark, seen, val, test, source="panel", scaled_cols=["num_sold"]), path)
     m = spark.read.json(path)
     return m.select("val_start", "test_start", "source", F.element_at("scaled_cols", 1).alias("scaled"), *[F.col(f"rows.{s}").alias(f"n_{s}") for s in split.SPLITS])
 
 
+@query(f"WITH {PANEL} SELECT date, {IDS}, 2 * num_sold AS num_sold FROM panel")
+def replaced_table(spark, sf_dir):
+    """A stage table that is read and replaced at one path."""
+    path = new_path(spark, "stage") + ".parquet"
+    io.write_table(panel(spark, sf_dir), path)
+    io.write_table(io.read_table(spark, path).withColumn("num_sold", 2 * F.col("num_sold")), path)
+    return io.read_table(spark, path)
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + to_months(12 * CAST(o_orderkey % 300 - 120 AS INTEGER)) AS day FROM orders),
+y AS (SELECT o_orderkey, CAST(day AS DATE) AS day, year(day) AS y, year(day) % 19 AS a, year(day) // 100 AS b, year(day) % 100 AS c FROM d),
+h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM y),
+l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h),
+m AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS m FROM l),
+e AS (SELECT o_orderkey, day, y, make_date(y, CAST(m // 31 AS BIGINT), CAST(m % 31 + 1 AS BIGINT)) AS easter, strftime(day, '%m-%d') AS md FROM m)
+SELECT o_orderkey, CAST(day AS TIMESTAMP) AS day, CASE WHEN md IN ('01-01', '05-01', '12-25', '12-26') OR (md = '06-17' AND y BETWEEN 1954 AND 1990) OR (md = '10-03' AND y >= 1990)
+  OR (md = '10-31' AND y = 2017) OR date_diff('day', easter, day) IN (-2, 1, 39, 50)
+  OR (y BETWEEN 1981 AND 1994 AND isodow(day) = 3 AND md BETWEEN '11-16' AND '11-22') THEN 1::TINYINT ELSE 0::TINYINT END AS is_holiday_de FROM e""")
+def holiday_rules(spark, sf_dir):
+    """Holidays of order dates moved by up to 180 years, under the rules of their years."""
+    o = table(spark, sf_dir, "orders")
+    months = (12 * (F.col("o_orderkey") % 300 - 120)).cast("int")
+    d = o.select("o_orderkey", F.add_months(F.col("o_orderdate").cast("date"), months).cast("timestamp_ntz").alias("day"))
+    return calendar.holiday_features(d, PanelSpec("day", (), "o_orderkey"))
+
+
 def _log_files(spark, sf_dir):
     """Run logs in two forms below one folder: with epochs, and without."""
     log, path = run_log(spark, sf_dir), new_path(spark, "logs")
@@ -432,6 +531,27 @@ def row_number_epochs(spark, sf_dir):
     return scoring.run_epochs(d).select("run_id", "epoch", "val_loss", "lr")
 
 
+def _written_results(spark, sf_dir):
+    """Results and summaries of the runs, written as JSON and read back."""
+    path = new_path(spark, "results")
+    where = F.concat(F.lit("logs/run_"), F.col("run_id"))
+    io.write_run_results(scoring.run_epochs(run_log(spark, sf_dir)), path, where, {"model": "tft", "source": "events"})
+    return io.read_run_results(spark, path)
+
+
+@query(f"""{_EPOCHS} SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY epoch) - 1 AS INTEGER) AS place, epoch, train_loss, val_loss, lr AS learning_rate FROM epochs""")
+def run_results_json(spark, sf_dir):
+    """Each run's epochs, in the order of its file."""
+    d = _written_results(spark, sf_dir)[0].select("run_id", F.posexplode("results").alias("place", "r"))
+    return d.select("run_id", "place", "r.*")
+
+
+@query(SQL["run_summary"].replace("SELECT run_id, CAST(max", "SELECT CAST(run_id AS VARCHAR) AS run_id, 'logs/run_' || run_id AS logs_dir, 'events,tft' AS meta, CAST(max"))
+def run_summary_json(spark, sf_dir):
+    d = _written_results(spark, sf_dir)[1]
+    return d.select("run_id", "logs_dir", F.array_join(F.array_sort(F.map_values("meta")), ",").alias("meta"), "n_epochs", "metrics.*")
+
+
 _RUNS = f"""{_EPOCHS}, runs AS (SELECT run_id, CAST(max(epoch) + 1 AS INTEGER) AS n_epochs, round(min(val_loss), 6) AS best_val_loss FROM epochs GROUP BY run_id)"""
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import re
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scoring import nested_summary, run_results
 from ..operators.split import SPLITS
-from ..spec import SPEC, PanelSpec, coerce_time, nan_to_null
+from ..spec import SPEC, PanelSpec, dimension, nan_to_null
+from ..storage import stored
 
 
 def read_sales_csv(spark: SparkSession, path: str, spec: PanelSpec = SPEC, extra: T.StructType | None = None) -> DataFrame:
@@ -17,10 +22,32 @@ def read_sales_csv(spark: SparkSession, path: str, spec: PanelSpec = SPEC, extra
 
     Columns come by their names in the header; those in neither the spec nor ``extra`` are text.
     """
-    df = spark.read.option("header", True).csv(path)
-    kinds = {spec.target_col: T.DoubleType()} | {f.name: f.dataType for f in extra or []}
-    df = df.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items() if c in df.columns})
-    return nan_to_null(coerce_time(df, spec.time_col))
+    raw = spark.read.option("header", True).csv(path)
+    return _typed(raw, _kinds(raw, spec, extra))
+
+
+def _kinds(raw: DataFrame, spec: PanelSpec, extra: T.StructType | None) -> dict[str, T.DataType]:
+    kinds = {spec.time_col: T.TimestampNTZType(), spec.target_col: T.DoubleType()} | {f.name: f.dataType for f in extra or []}
+    return {c: k for c, k in kinds.items() if c in raw.columns}
+
+
+def _typed(raw: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    return nan_to_null(raw.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()}))
+
+
+def read_checked_csv(spark: SparkSession, path: str, spec: PanelSpec = SPEC, extra: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """``read_sales_csv`` and what it could not read: (rows, rejects).
+
+    rejects has (column, raw, n): a text that is no value of its column's type, and its rows.  One pass reads
+    the file and writes both, so neither reads it again.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    kinds = _kinds(raw, spec, extra)
+    bad = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(k).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("raw"))) for c, k in kinds.items()]
+    both = _typed(raw.withColumn("__bad", F.filter(F.array(*bad), lambda x: x.isNotNull())), kinds)
+    both = stored(both, "checked")
+    rejects = both.where(F.size("__bad") > 0).select(F.explode("__bad").alias("b")).groupBy("b.column", "b.raw").agg(F.count(F.lit(1)).alias("n"))
+    return both.drop("__bad"), rejects
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -34,14 +61,51 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported suffix: {path}")
 
 
+def _replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes beside ``path``, and only then puts the new table in its place: what is at ``path`` can be read
+    by the writing itself, and stays if that fails."""
+    conf = spark.sparkContext._jsc.sc().hadoopConfiguration()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    beside = lambda kind: at.getParent().suffix(f"/_{at.getName()}.{kind}-{uuid.uuid4().hex}")
+    new, old = beside("new"), beside("old")
+    try:
+        write(new.toString())
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"cannot put the new table at {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_table(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> None:
-    """Writes a stage table in place of what is there, rows sorted within files if asked for."""
-    (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode("overwrite").parquet(path)
+    """Writes a stage table in place of what is there, rows sorted within files if asked for.
+
+    ``df`` may read the table that it replaces, which stays as it is if the writing fails.
+    """
+    d = df.sortWithinPartitions(*sort_by) if sort_by else df
+    _replaced(df.sparkSession, path, d.write.parquet)
+
 
+def write_splits(df: DataFrame, path: str, spec: PanelSpec = SPEC, split: str = "split") -> dict:
+    """One folder for each part below ``path`` (split=train, ...), written in one pass.
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    """One folder for each part below ``path`` (split=train, ...), written in one pass."""
-    df.where(F.col(split).isin(*SPLITS)).write.mode("overwrite").partitionBy(split).parquet(path)
+    What the pass has seen comes back: {part: {"rows", "first", "last"}}, so counts, manifest and
+    checks need no scan of their own.
+    """
+    seen, t = Observation(), F.col(spec.time_col)
+    own = lambda s, x: F.when(F.col(split) == s, x)
+    facts = [f(own(s, x)).alias(f"{s}_{n}") for s in SPLITS for n, f, x in (("rows", F.count, 1), ("first", F.min, t), ("last", F.max, t))]
+    d = df.where(F.col(split).isin(*SPLITS)).observe(seen, *facts)
+    _replaced(df.sparkSession, path, d.write.partitionBy(split).parquet)
+    return {s: {n: seen.get[f"{s}_{n}"] for n in ("rows", "first", "last")} for s in SPLITS}
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -54,27 +118,54 @@ def write_comparison(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+_METRICS = "final_train_loss double, final_val_loss double, best_val_loss double, best_val_epoch int, initial_lr double, final_lr double"
+_RESULTS = "results array<struct<epoch int, train_loss double, val_loss double, learning_rate double>>"
+_SUMMARY = f"logs_dir string, n_epochs int, metrics struct<{_METRICS}>, meta map<string,string>"
+
+
+def write_run_results(epochs: DataFrame, path: str, logs_dir: Column | None = None, meta: dict[str, str] | None = None) -> None:
+    """Results and summary of every run of ``epochs`` (run_id, epoch, train_loss, val_loss, lr) as JSON.
+
+    Below results/ and summary/ each run has a folder of its own (run=<id>) with one object; absent values are left out.
+    """
+    for name, d in (("results", run_results(epochs)), ("summary", nested_summary(epochs, logs_dir, meta))):
+        d = d.withColumn("run", F.col("run_id").cast("string")).withColumn("run_id", F.col("run"))
+        _replaced(epochs.sparkSession, f"{path}/{name}", d.write.partitionBy("run").json)
+
+
+def read_run_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(run_id, results) and (run_id, logs_dir, n_epochs, metrics, meta) as ``write_run_results`` left them."""
+    read = lambda name, schema: spark.read.schema(f"run_id string, {schema}").json(f"{path}/{name}/run=*")
+    return read("results", _RESULTS), read("summary", _SUMMARY)
+
+
 def read_run_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Run logs, e.g. ".../run_*/metrics.csv", as one table of doubles with run_id and step.
 
-    Headers may differ between runs: files of one header are read together, columns are matched by
-    name, missing ones are null.  run_id is the folder of the file; step is the row's place in it.
+    Headers may differ between runs: columns are matched by name, missing ones are null.  run_id is the
+    folder of the file; step is the row's place in it.  Files are read once, as lines; a line's
+    place is its place in its split plus the lines of the splits before, so a file may be read by many
+    tasks.  The driver gets each distinct header once, however many runs have it.
     """
-    text = spark.read.text(pattern).select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("id", F.monotonically_increasing_id())
-    # The first line of each file: one row for each run reaches the driver.
-    first = text.where("block = 0").groupBy("path").agg(F.min_by("value", "id").alias("head"))
-    by_header: dict[str, list[str]] = {}
-    for r in sorted(first.collect()):
-        by_header.setdefault(r["head"].strip("\r"), []).append(r["path"])
+    lines = spark.read.text(pattern).select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()).where("trim(value) <> ''"), "lines")
+    heads = lines.where("block = 0").groupBy("path").agg(F.min("id").alias("id"), F.min_by("value", "id").alias("head"))
+    heads = dimension(heads.select(F.col("path").alias("of"), F.col("id").alias("head_id"), "head"))
+    # Rows are numbered by position among the lines of their split that are left.
+    place = Window.partitionBy("path", "block").orderBy("id")
+    rows = lines.withColumn("row", F.row_number().over(place))
+    n = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = n.select(F.col("path").alias("of_"), F.col("block").alias("block_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = rows.join(dimension(offsets), (F.col("path") == F.col("of_")) & (F.col("block") == F.col("block_")))
+    rows = rows.join(heads, F.col("path") == F.col("of")).where("id <> head_id")
+    rows = rows.select("path", "head", (F.col("row") + F.col("offset") - 1).cast("int").alias("step"), "value")
     out = None
-    place = Window.partitionBy("path").orderBy("block", "id")
-    for paths in by_header.values():
-        # Spark itself reads the names, so quotes and commas in them are its own affair.
-        names = spark.read.option("header", True).csv(paths[0]).columns
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        d = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-        d = d.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in names], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-        d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), F.row_number().over(place).alias("step"), *[F.col(f"`{c}`") for c in names])
+    for r in heads.select("head").distinct().orderBy("head").collect():
+        names = [c or f"_c{i}" for i, c in enumerate(next(csv.reader([r["head"].strip("\r")])))]
+        parsed = F.from_csv("value", ", ".join(f"`{c}` string" for c in names))
+        d = rows.where(F.col("head") == r["head"]).withColumn("v", parsed)
+        d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), "step", *[F.col(f"v.`{c}`").try_cast("double").alias(c) for c in names])
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no run logs: {pattern}")

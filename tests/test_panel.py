@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def test_day_of_week_golden_values(spark):
 
 
 def test_holidays(spark):
-    h = {str(r["date"]): r["holiday_name"] for r in calendar.holidays(spark, 2008, 2019).collect()}
+    h = {str(r["date"]): r["holiday_name"] for r in calendar.holidays(spark.range(2008, 2020).selectExpr("cast(id as int) AS year")).collect()}
     assert h["2017-04-17"] == "Ostermontag" and "2017-10-31" in h and "2016-10-31" not in h and "2018-10-31" not in h
     assert h["2019-04-19"] == "Karfreitag" and h["2008-05-01"] in ("Tag der Arbeit", "Christi Himmelfahrt")
     # Easter Sundays at the edges of the calendar.
@@ -229,9 +230,33 @@ def test_time_at_any_position(spark):
     steps = [0, 0, 1, 2, 999, 1000, 1001, 10**6, 10**6, 10**6 + 1, 61 * 10**6, 86_400 * 10**6, 86_400 * 10**6 + 5, 90_000 * 10**6]
     times = [base + dt.timedelta(microseconds=s) for s in steps]
     df = spark.createDataFrame([(t,) for t in times] + [(None,)], "date timestamp_ntz")
-    assert [split.time_at(df, "date", i) for i in range(15)] == [*times, None]
-    with pytest.raises(IndexError):
-        split.time_at(df, "date", 15)
+    assert [split.times_at(df, "date", (i / 15,), lambda n: (i,))[0] for i in range(15)] == [*times, None]  # noqa: B023
+    assert split.times_at(df, "date", (0.2, 0.9), lambda n: (3, 13)) == [times[3], times[13]]
+    # A position far from its share is found by wider brackets.
+    assert split.times_at(df, "date", (0.0,), lambda n: (9,)) == [times[9]]
+
+
+def test_boundaries_take_two_scans(spark, monkeypatch):
+    """One for the sketch and one for the counts, of which the driver gets a row each; equal to sorting all."""
+    rng = random.Random(4)
+    base = dt.datetime(2020, 1, 1)
+    times = [base + dt.timedelta(seconds=rng.choice([rng.randrange(10**6), 77])) for _ in range(20_000)] + [None] * 50
+    df = spark.createDataFrame([(t,) for t in times], "date timestamp_ntz").repartition(5)
+    path = spark.conf.get("spark.checkpoint.dir") + "/two-scans"
+    df.write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    plans = []
+    first = type(df).first
+
+    def counting(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return first(self)
+
+    monkeypatch.setattr(type(df), "first", counting)
+    got = split.boundaries(df, PanelSpec("date", (), "y"))
+    order = sorted(times, key=lambda t: (t is None, t or base))
+    n = len(order)
+    assert got == (order[int(n * 0.8)], order[int(n * (0.8 + 0.1))]) and plans == [1, 1]
 
 
 def test_checks_raise(spark):
@@ -267,8 +292,22 @@ def test_samples_by_role_and_normalizer(spark):
     assert n["encoder"] == pytest.approx([(x - m) / s for x in z[:3]]) and n["decoder"] == pytest.approx([(x - m) / s for x in z[3:5]])
 
 
-def test_holidays_outside_the_rules_are_unknown(spark):
+def test_holiday_rules_have_a_first_and_a_last_year(spark):
     from millrace.functions import calendar
 
-    d = spark.createDataFrame([(dt.datetime(1990, 1, 1),), (dt.datetime(2020, 1, 1),), (dt.datetime(2020, 1, 2),), (None,)], "date timestamp_ntz")
-    assert [r["is_holiday_de"] for r in calendar.holiday_features(d).collect()] == [None, 1, 0, 0]
+    days = {
+        "1953-06-17": None, "1954-06-17": "Tag der deutschen Einheit", "1990-06-17": "Tag der deutschen Einheit", "1991-06-17": None,
+        "1989-10-03": None, "1990-10-03": "Tag der Deutschen Einheit", "2150-10-03": "Tag der Deutschen Einheit",
+        "1994-11-16": "Bu\u00df- und Bettag", "1995-11-22": None, "1990-11-21": "Bu\u00df- und Bettag", "1981-11-18": "Bu\u00df- und Bettag",
+        "1990-04-13": "Karfreitag", "2150-04-10": "Karfreitag", "2150-04-13": "Ostermontag", "2017-10-31": "Reformationstag", "2018-10-31": None,
+        "9999-12-25": "1. Weihnachtstag", "2008-05-01": "Christi Himmelfahrt",
+    }
+    d = spark.createDataFrame([(dt.datetime.fromisoformat(x),) for x in days] + [(None,)], "date timestamp_ntz")
+    got = calendar.holiday_features(d, include_name=True)
+    assert {str(r["date"])[:10]: (r["is_holiday_de"], r["holiday_name"]) for r in got.collect()} == {k: (int(v is not None), v) for k, v in days.items()} | {"None": (0, None)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    # The dimension says the same of every day of a century.
+    days = spark.sql("SELECT explode(sequence(DATE '1950-01-01', DATE '2049-12-31')) AS day")
+    h = calendar.holidays(days.selectExpr("year(day) AS year"))
+    d = days.withColumn("name", calendar.holiday_name(F.col("day"))).join(h, F.col("day") == F.col("date"), "left")
+    assert d.where("NOT (name <=> holiday_name)").count() == 0 and d.where("name IS NOT NULL").count() > 900

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -58,10 +60,9 @@ def test_queries_run_without_the_corpus_operators(tmp_path):
     import subprocess
     import sys
 
-    from conftest import ROOT
-
-    shutil.copytree(f"{ROOT}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=True)
     assert out.stdout.split()[-2:] == [str(len(registry.QUERIES))] * 2

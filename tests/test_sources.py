@@ -44,3 +44,83 @@ def test_run_logs_with_different_headers(spark, tmp_path):
     assert s["run_a"]["best_val_loss"] == 2.0 and s["run_a"]["n_epochs"] == 2 and s["run_b"]["final_lr"] == 0.01
     io.write_comparison(scoring.compare_runs(scoring.run_summary(scoring.run_epochs(log))), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_results_and_summary_of_each_run(spark, tmp_path):
+    """One folder for each run; absent values are left out of the objects, present ones keep their order."""
+    import json
+
+    rows = [("a", 1, 0.5, 2.0, None), ("a", 0, 1.5, None, 0.1), ("b", 0, None, None, None), ("c/d", 0, 1.0, 1.0, 0.2)]
+    epochs = spark.createDataFrame(rows, "run_id string, epoch int, train_loss double, val_loss double, lr double")
+    io.write_run_results(epochs, str(tmp_path / "out"), meta={"k": "v"})
+    results = json.loads(next((tmp_path / "out/results/run=a").glob("*.json")).read_text())
+    assert results == {"run_id": "a", "results": [{"epoch": 0, "train_loss": 1.5, "learning_rate": 0.1}, {"epoch": 1, "train_loss": 0.5, "val_loss": 2.0}]}
+    summary = json.loads(next((tmp_path / "out/summary/run=a").glob("*.json")).read_text())
+    assert summary == {"run_id": "a", "n_epochs": 2, "metrics": {"final_train_loss": 0.5, "final_val_loss": 2.0, "best_val_loss": 2.0, "best_val_epoch": 1, "initial_lr": 0.1}, "meta": {"k": "v"}}
+    got, sums = io.read_run_results(spark, str(tmp_path / "out"))
+    assert {r["run_id"]: len(r["results"]) for r in got.collect()} == {"a": 2, "b": 1, "c/d": 1}
+    assert {r["run_id"]: r["metrics"]["best_val_epoch"] for r in sums.collect()} == {"a": 1, "b": None, "c/d": 0}
+    io.write_run_results(epochs.where("run_id = 'b'"), str(tmp_path / "out"))
+    assert [r["run_id"] for r in io.read_run_results(spark, str(tmp_path / "out"))[0].collect()] == ["b"]
+
+
+def test_a_log_in_many_splits_keeps_its_order(spark, tmp_path):
+    """One file read by several tasks: steps are the rows' places; no window takes a whole file."""
+    (tmp_path / "run_a").mkdir()
+    text = "val_loss,note,lr-x\n" + "".join(f'{i},"a, b",{i / 10}\n' + "\n" * (i % 50 == 0) for i in range(3000))
+    (tmp_path / "run_a/metrics.csv").write_text(text)
+    (tmp_path / "run_b").mkdir()
+    (tmp_path / "run_b/metrics.csv").write_text("epoch,val_loss\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        log = io.read_run_logs(spark, f"{tmp_path}/run_*/metrics.csv")
+        got = [(r["run_id"], r["step"], r["val_loss"], r["lr-x"]) for r in log.orderBy("step").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [("run_a", i + 1, float(i), i / 10) for i in range(3000)]
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(path" in plan and all("block" in p[:120] for p in plan.split("windowspecdefinition(path")[1:])
+
+
+def test_a_table_is_replaced_only_once_it_is_written(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t.parquet")
+    io.write_table(spark.range(10), path)
+    io.write_table(io.read_table(spark, path).withColumn("id", F.col("id") + 1), path)
+    assert sorted(r["id"] for r in io.read_table(spark, path).collect()) == list(range(1, 11))
+    broken = io.read_table(spark, path).withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(PySparkException):
+        io.write_table(broken, path)
+    assert io.read_table(spark, path).count() == 10 and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_parts_are_counted_while_they_are_written(spark, tmp_path, monkeypatch):
+    """Counts, first and last times, checks and manifest come from the writing pass: no action but the write."""
+    at = [dt.datetime(2020, 1, 1) + dt.timedelta(i) for i in range(10)]
+    d = spark.createDataFrame([(t, "a", float(i)) for i, t in enumerate(at)], "date timestamp_ntz, id string, y double")
+    spec = PanelSpec("date", ("id",), "y")
+    parts = split.assign_split(d, at[6], at[8], spec)
+    for name in ("collect", "count", "first", "toPandas"):
+        monkeypatch.setattr(type(d), name, lambda *a, **k: pytest.fail("another scan"))
+    seen = io.write_splits(parts, str(tmp_path / "s"), spec)
+    split.check_parts(seen)
+    m = split.manifest_of(spark, seen, at[6], at[8], spec, source="x")
+    monkeypatch.undo()
+    assert seen == {"train": {"rows": 6, "first": at[0], "last": at[5]}, "val": {"rows": 2, "first": at[6], "last": at[7]}, "test": {"rows": 2, "first": at[8], "last": at[9]}}
+    assert m.drop("source").collect() == split.split_manifest(parts, at[6], at[8], spec).drop("source").collect()
+    empty = io.write_splits(parts.where("split <> 'val'"), str(tmp_path / "e"), spec)
+    with pytest.raises(ValueError, match="val"):
+        split.check_parts(empty)
+    with pytest.raises(ValueError, match="overlaps"):
+        split.check_parts(seen | {"test": {"rows": 1, "first": at[2], "last": at[3]}})
+
+
+def test_unreadable_values_are_kept_apart(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("country,date,store,product,num_sold\nDE,2020-01-01,s,p,3\nDE,bad,s,p,many\nDE,bad,s,p,4\nDE,,s,p,\n")
+    rows, rejects = io.read_checked_csv(spark, str(tmp_path / "raw.csv"))
+    assert sorted(map(tuple, rejects.collect())) == [("date", "bad", 2), ("num_sold", "many", 1)]
+    assert rows.count() == 4 and rows.where("date is null").count() == 3 and "__bad" not in rows.columns
+    assert "csv" not in rejects._jdf.queryExecution().executedPlan().toString().lower().replace("raw.csv", "")
