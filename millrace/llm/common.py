@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +16,21 @@ from ..storage import new_path, shared_dir  # noqa: F401
 #: Words of the corpus contracts: runs without ASCII white space (Java and DuckDB regex syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Tables written in the scopes that are open now, innermost last.
-_scopes: list[list[DataFrame]] = []
+#: Tables written in the scopes that are open now in this thread or task, innermost last.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("_scopes", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes at its end what was materialized within, but for what was to be kept: for steps whose
     result is written by then."""
-    _scopes.append([])
+    own: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for df in _scopes.pop():
+        _scopes.reset(token)
+        for df in own:
             discard(df)
 
 
@@ -40,9 +43,9 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
-    at = -2 if keep else -1
-    if len(_scopes) >= -at:
-        _scopes[at].append(out)
+    at, scopes = -2 if keep else -1, _scopes.get()
+    if len(scopes) >= -at:
+        scopes[at].append(out)
     return out
 
 

@@ -265,7 +265,7 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
             yield _offsets(out)
 
     # Parts (lo, hi) of an anchor: its windows that start lo to hi bytes before it.
-    whole = cut.withColumns({"part": F.col("anchor"), "lo": F.lit(0), "hi": F.lit(length - gram)})
+    whole = cut.withColumns({"part": F.unhex(F.hex("anchor")), "lo": F.lit(0), "hi": F.lit(length - gram)})
     small, wide = whole.where(F.col("kinds") <= max_contexts), whole.where(F.col("kinds") > max_contexts)
     ready, single = [small], []
     while not wide.isEmpty():
@@ -274,7 +274,10 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
         halves = wide.select("*", F.explode(F.array(F.struct(F.col("lo").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("hi").alias("h")))).alias("half"))
         halves = halves.select("part", "anchor", "ctx", "n", "first", "last", "before", "after", F.col("half.l").alias("lo"), F.col("half.h").alias("hi"))
         halves = halves.where((F.greatest("first", "lo") <= F.least("last", "hi")) & (F.length("before") >= F.col("lo")) & (F.length("after") >= F.lit(length) - F.col("hi")))
-        shared = F.xxhash64("part", "lo", "hi", F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
+        # 128 bits of the part above and the shared bytes, whose lengths lo and hi tell.
+        place = F.encode(F.concat_ws(",", F.lit(""), "lo", "hi", F.lit("")), "utf-8")
+        own = (F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
+        shared = F.unhex(F.md5(F.concat("part", place, *own)))
         halves = materialize(halves.withColumn("part", shared), "halves")
         sizes = materialize(halves.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sizes")
         halves = materialize(halves.join(sizes, "part"), "split")
