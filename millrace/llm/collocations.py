@@ -35,6 +35,8 @@ WORDS, BITS, CANDIDATES = 500_000, 27, 500_000
 #: Entries that a task gathers before it sends them, places that it works on at a time, and words of a row of
 #: numbered text (more without a break).
 HELD, PLACES, ROW = 2_000_000, 1 << 18, 512
+#: Phrases whose counts travel together.
+COUNTS = 1024
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -345,21 +347,36 @@ def _matrix(rows: pa.Table, k: int) -> np.ndarray:
 
 
 def counted(texts: DataFrame, trie: Trie) -> DataFrame:
-    """(row, n): occurrences of every phrase of the trie."""
+    """(row, n): occurrences of every phrase of the trie that occurs.
+
+    A task sends its bincount in blocks of ``COUNTS`` phrases, at most one number for each phrase of the trie
+    however much text it has read; the blocks of all tasks are added up as they come in."""
     shipped = texts.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches):
-        total: np.ndarray | None = None
+        total = np.zeros(0, np.int64)
         for ids, _, at in _columns(batches):
             n = np.bincount(shipped.value.walk(ids, at)[1])
-            if total is None or len(total) < len(n):
-                total, n = n, total if total is not None else n[:0]
+            if len(total) < len(n):
+                total, n = n, total
             total[: len(n)] += n
-        if total is not None and total.any():
-            row = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(total[row].astype(np.int64))], ["row", "n"])
+        for lo in range(0, len(total), COUNTS):
+            some = total[lo : lo + COUNTS]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo // COUNTS], pa.int32()), pa.array([some], pa.list_(pa.int64()))], ["block", "n"])
 
-    return texts.mapInArrow(run, "row int, n long").groupBy("row").agg(F.sum("n").alias("n"))
+    def added(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, block in enumerate(b.column(0).to_pylist()):
+                n = b.column(1).slice(i, 1).flatten().to_numpy()
+                had = found.setdefault(block, np.zeros(COUNTS, np.int64))
+                had[: len(n)] += n
+        for block, n in found.items():
+            row = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array((row + block * COUNTS).astype(np.int32)), pa.array(n[row])], ["row", "n"])
+
+    return texts.mapInArrow(run, "block int, n array<long>").repartition("block").mapInArrow(added, "row int, n long")
 
 
 def frequent(texts: DataFrame, some: list[DataFrame], k: int, support: int, most: int, most_candidates: int) -> list[DataFrame]:
