@@ -293,8 +293,9 @@ _IN_YEAR = f"date >= TIMESTAMP '{YEAR}-01-01' AND date < TIMESTAMP '{YEAR + 1}-0
 SELECT date, country, coalesce(round(sum(num_sold), 4), 0) AS total, 'aligned' AS variant FROM panel WHERE {_IN_YEAR} GROUP BY date, country
 UNION ALL SELECT date, country, coalesce(round(sum(num_sold), 4), 0), 'cleaned' FROM cleaned WHERE {_IN_YEAR} GROUP BY date, country""")
 def daily_before_after(spark, sf_dir):
-    p = panel(spark, sf_dir, keep=True)
-    return rounded(audit.daily_before_after(p, clean.clean(p, OUTLIER, YEAR, MONTHS), YEAR), "total")
+    p = panel(spark, sf_dir).withColumn("before", F.col("num_sold"))
+    d = clean.clean(p, OUTLIER, YEAR, MONTHS)
+    return rounded(audit.daily_totals_of(d, {"before": "aligned", "num_sold": "cleaned"}, YEAR), "total")
 
 
 _DIFF = f"""WITH {PANEL}, {_cleaned('panel')},
@@ -317,7 +318,8 @@ def cleaning_top_change(spark, sf_dir):
 SELECT d.date, d.country, d.store, d.product, round(d.before, 4) AS before, round(d.after, 4) AS after, round(d.diff, 4) AS diff
 FROM diffs d JOIN top t ON d.country = t.country AND d.store = t.store AND d.product = t.product""")
 def cleaning_top_series_diff(spark, sf_dir):
-    d = _diff(spark, sf_dir)
+    p = panel(spark, sf_dir).withColumn("before", F.col("num_sold"))
+    d = stored(audit.differences_within(clean.clean(p, OUTLIER, YEAR, MONTHS), "before", year=YEAR), "diff")
     return rounded(audit.series_rows(d, audit.most_changed(d)), "before", "after", "diff")
 
 

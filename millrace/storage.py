@@ -24,8 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, label: str, folder: str = "tables") -> str:
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written for itself, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

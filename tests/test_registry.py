@@ -54,6 +54,42 @@ def test_facts_are_scanned_once(spark):
     assert align.level_factors(p, 2000)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+def test_the_feature_table_reads_its_facts_twice(spark):
+    """Once for levels and the first time, once for the features."""
+    from millrace.plans.features import feature_table
+
+    p = registry.panel(spark, SF, keep=True)
+    plan = feature_table(p, 2000, "2000-01-01", 2000, (3, 4, 5))._jdf.queryExecution().executedPlan().toString()
+    # What else is read is the factors and the first time, both written once.
+    assert plan.count("FileScan") == 3 and plan.count("ReadSchema: struct<date") == 1 and plan.count("ReadSchema: struct<first") == 1
+
+
+def test_before_and_after_in_one_pass_equal_the_join(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import audit, clean
+
+    p = registry.panel(spark, SF, keep=True)
+    d = clean.clean(p.withColumn("before", F.col("num_sold")), "2000-01-01", 2000, (3, 4, 5))
+    one, two = audit.differences_within(d, "before", year=2000), audit.differences(p, d.drop("before"), year=2000)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and one.count() > 0
+    one = audit.daily_totals_of(d, {"before": "aligned", "num_sold": "cleaned"}, 2000)
+    two = audit.daily_before_after(p, d, 2000)
+    key = lambda x: sorted((r["date"], r["country"], r["variant"], round(r["total"], 6)) for r in x.collect())
+    assert key(one) == key(two)
+
+
+def test_own_tables_are_released(spark):
+    import os
+
+    from millrace import storage
+
+    path = storage.stored(spark.range(3), "own").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    storage.release(spark)
+    assert not os.path.exists(path)
+
+
 def test_queries_run_without_the_corpus_operators(tmp_path):
     """The entry imports, and keeps the panel's queries, where the corpus operators are missing."""
     import shutil
