@@ -334,7 +334,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learnt from the labels of those that are not held out.
 
-    A null doc_id is never held out (and never learnt from).
+    A null doc_id is never held out (and never learnt from).  Null and empty texts score 0, like those without a
+    weighted token; repeated rows get a row each; an empty table gives no rows; without toxic
+    labels nothing is toxic.  Extra columns are not read.
     """
     docs = table(spark, sf_dir, "documents")
     sample = training_rows(docs, table(spark, sf_dir, "labels")).toArrow()
