@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, cyclical
@@ -490,6 +490,18 @@ def replaced_table(spark, sf_dir):
     return io.read_table(spark, path)
 
 
+@query(f"WITH {PANEL} SELECT row_number() OVER (ORDER BY date, {IDS}) - 1 AS place, * FROM panel")
+def sorted_output(spark, sf_dir):
+    """Rows in the order of a sorted table's files: dealt by ranges, sorted within each, counted by file and place."""
+    path, order = new_path(spark, "sorted"), ("date", *SPEC.id_cols)
+    io.write_table(panel(spark, sf_dir).repartitionByRange(6, *order), path, order)
+    d = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
+    n = d.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    d = d.join(F.broadcast(n.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))), "file")
+    return d.select((F.col("i") + F.col("offset")).alias("place"), "date", *SPEC.id_cols, "num_sold")
+
+
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + to_months(12 * CAST(o_orderkey % 300 - 120 AS INTEGER)) AS day FROM orders),
 y AS (SELECT o_orderkey, CAST(day AS DATE) AS day, year(day) AS y, year(day) % 19 AS a, year(day) // 100 AS b, year(day) % 100 AS c FROM d),
 h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM y),
