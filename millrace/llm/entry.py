@@ -19,4 +19,4 @@ QUERIES = {
     "op12_collocations": collocations.op12_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
-ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE, **sharding.ORACLE, **collocations.ORACLE}
+ORACLE_SQL = {**topk.ORACLE, **mixing.ORACLE, **quality.ORACLE, **sharding.ORACLE, **phrases.ORACLE, **collocations.ORACLE}

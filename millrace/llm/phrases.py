@@ -362,3 +362,18 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cleaned(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(F.col("key").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = {
+    "op11_phrases": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT r, i FROM win JOIN twice USING (g)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+m AS (SELECT words.r, p, word, max(starts.i) OVER (PARTITION BY words.r ORDER BY p) AS s FROM words LEFT JOIN starts ON starts.r = words.r AND starts.i = p),
+k AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE p - s < 35) AS gone, string_agg(word, ' ' ORDER BY p) FILTER (WHERE s IS NULL OR p - s >= 35) AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
+}
