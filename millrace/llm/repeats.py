@@ -16,8 +16,10 @@ only distinct contexts go to a suffix array.
 
 An anchor with more distinct contexts than one array takes is split: its windows start from
 0 to length - gram bytes before it, and those of either half of this range share more bytes on
-one side, so contexts that differ there part.  Parts are split on until an array takes them
-or a part is a single string, which then is one interval that all its members share.
+one side, so contexts that differ there part.  Members of a part that agree in all its windows
+are an interval already, and one of them goes on for all; so a passage shared by many contexts
+leaves only the halves that its edge crosses, eight at most.  Parts are split on until an array
+takes them; a part of a single string always is one interval.
 """
 
 from __future__ import annotations
@@ -267,31 +269,33 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
     # Parts (lo, hi) of an anchor: its windows that start lo to hi bytes before it.
     whole = cut.withColumns({"part": F.unhex(F.hex("anchor")), "lo": F.lit(0), "hi": F.lit(length - gram)})
     small, wide = whole.where(F.col("kinds") <= max_contexts), whole.where(F.col("kinds") > max_contexts)
-    ready, single = [small], []
+    ready, known = [small], []
     while not wide.isEmpty():
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         # Members share the bytes that all windows of their part have: lo before, length - hi after.
         halves = wide.select("*", F.explode(F.array(F.struct(F.col("lo").alias("l"), middle.alias("h")), F.struct((middle + 1).alias("l"), F.col("hi").alias("h")))).alias("half"))
         halves = halves.select("part", "anchor", "ctx", "n", "first", "last", "before", "after", F.col("half.l").alias("lo"), F.col("half.h").alias("hi"))
-        halves = halves.where((F.greatest("first", "lo") <= F.least("last", "hi")) & (F.length("before") >= F.col("lo")) & (F.length("after") >= F.lit(length) - F.col("hi")))
-        # 128 bits of the part above and the shared bytes, whose lengths lo and hi tell.
-        place = F.encode(F.concat_ws(",", F.lit(""), "lo", "hi", F.lit("")), "utf-8")
-        own = (F.substring(F.col("before"), F.lit(1), F.col("lo")), F.substring(F.col("after"), F.lit(1), F.lit(length) - F.col("hi")))
-        shared = F.unhex(F.md5(F.concat("part", place, *own)))
-        halves = materialize(halves.withColumn("part", shared), "halves")
-        sizes = materialize(halves.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sizes")
-        halves = materialize(halves.join(sizes, "part"), "split")
-        one = F.col("lo") == F.col("hi")
-        single.append(halves.where(one).select("anchor", "ctx", F.col("lo").cast("long").alias("a"), F.col("lo").cast("long").alias("b")))
-        ready.append(halves.where(~one & (F.col("kinds") <= max_contexts)))
-        wide = halves.where(~one & (F.col("kinds") > max_contexts))
+        own = {"a": F.greatest("first", "lo"), "b": F.least("last", "hi")}
+        halves = halves.withColumns(own).where("a <= b")
+        # 128 bits of the part above and the shared bytes, and 128 of all bytes of the member's own windows here.
+        shared = F.md5(F.concat("part", *_sides("lo", "hi", F.col("lo"), F.lit(length) - F.col("hi"))))
+        every_byte = F.md5(F.concat(*_sides("a", "b", F.col("b"), F.lit(length) - F.col("a"))))
+        halves = materialize(halves.withColumns({"part": F.unhex(shared), "whole": F.unhex(every_byte)}), "halves")
+        # Members whose windows here are all equal repeat each other, and one of them meets the others.
+        one = F.min(F.struct("anchor", "ctx", "n", "first", "last", "before", "after", "lo", "hi"))
+        classes = materialize(halves.groupBy("part", "whole").agg(F.count(F.lit(1)).alias("members"), one.alias("one")), "classes")
+        known.append(halves.where("n = 1").join(classes.where("members > 1").select("part", "whole"), ["part", "whole"], "left_semi"))
+        sizes = materialize(classes.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sizes")
+        met_here = materialize(classes.select("part", "one.*").join(sizes, "part"), "split")
+        ready.append(met_here.where(F.col("kinds") <= max_contexts))
+        wide = met_here.where(F.col("kinds") > max_contexts)
     columns = ("part", "anchor", "ctx", F.greatest("first", "lo").alias("first"), F.least("last", "hi").alias("last"), "before", "after")
     arrays = ready[0].select(*columns)
     for r in ready[1:]:
         arrays = arrays.unionByName(r.select(*columns))
     part = arrays.repartition("part").sortWithinPartitions("part").mapInArrow(suffix_arrays, _OFFSETS)
-    for x in single:
-        part = part.unionByName(x)
+    for x in known:
+        part = part.unionByName(x.select("anchor", "ctx", F.col("a").cast("long"), F.col("b").cast("long")))
     part = materialize(part.distinct(), "parts")
     # A context that occurs again is full already, so a part's context has one occurrence: its representative.
     alone = open_.where("n = 1").select("anchor", "ctx", "row", "at")
@@ -302,6 +306,12 @@ def repeated_windows(packed: DataFrame, length: int = LENGTH, max_contexts: int
 _OFFSETS = "anchor long, ctx long, a long, b long"
 
 
+def _sides(first: str, last: str, before, after) -> tuple:
+    """Binary columns to hash: two offsets, and so many bytes on either side of the anchor, whose lengths the offsets tell."""
+    offsets = F.encode(F.concat_ws(",", F.lit(""), first, last, F.lit("")), "utf-8")
+    return offsets, F.substring(F.col("before"), F.lit(1), before), F.substring(F.col("after"), F.lit(1), after)
+
+
 def _offsets(rows: list) -> pa.RecordBatch:
     x = np.array(rows, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(x[:, i].copy()) for i in range(4)], ["anchor", "ctx", "a", "b"])

@@ -166,9 +166,9 @@ def test_short_repeats_and_blocks(spark, monkeypatch, most, block):
     assert sorted(got, key=repr) == brute_repeats(rows, 40)
 
 
-def test_hot_anchor_is_split(spark):
-    """One line in all texts, with neighbours that differ or agree by groups: every width gives the same."""
-    line = "this very line stands in every one of these texts"
+@pytest.mark.parametrize("line", ["this very line stands in every one of these texts", "a passage of many words, none of them twice: " + " ".join(f"{i * i:x}" for i in range(20, 70))])
+def test_hot_anchor_is_split(spark, line):
+    """One line or a passage of several windows in all texts, with neighbours that differ or agree by groups: every width gives the same."""
     rows = [(i, f"{'left' * (i % 3)} {i % 7} {i // 7} {line} {i % 5} {'right' * (i % 4)} {i // 5} and more of it to the end {i % 2}") for i in range(150)]
     df = spark.createDataFrame(rows, "key long, text string")
     want = brute_repeats(rows, 60)
