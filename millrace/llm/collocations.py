@@ -222,19 +222,24 @@ class Trie:
 def _parts(batches) -> Iterator[pa.RecordBatch]:
     """Rows of about ``PLACES`` words together."""
     for b in batches:
-        ends, lo = b.column(0).offsets.to_numpy()[1:], 0
+        # The offsets of a slice are those of the whole column: they need not begin at 0.
+        offsets, lo = b.column(0).offsets.to_numpy(), 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PLACES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PLACES, "right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
 
 
 def _columns(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, prev, places whose phrase of one word more may be frequent) of every part of rows (ids[, prev])."""
-    for b in _parts(batches):
-        ids = b.column(0).flatten().to_numpy()
-        prev = b.column(1).flatten().to_numpy() if b.num_columns > 1 else ids
-        yield ids, prev, np.flatnonzero((prev[:-1] > 0) & (prev[1:] > 0)) if len(prev) else np.zeros(0, np.int64)
+    return map(_part_columns, _parts(batches))
+
+
+def _part_columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of one part as a whole."""
+    ids = b.column(0).flatten().to_numpy()
+    prev = b.column(1).flatten().to_numpy() if b.num_columns > 1 else ids
+    return ids, prev, np.flatnonzero((prev[:-1] > 0) & (prev[1:] > 0)) if len(prev) else np.zeros(0, np.int64)
 
 
 def _key(prev: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -412,7 +417,7 @@ def advanced(texts: DataFrame, found: list[DataFrame], k: int, most: int) -> Dat
             trie, number = shipped.value
             for b in _parts(batches):
                 had = b.column(b.num_columns - 1).flatten().to_numpy() if not first else None
-                ids, prev, at = next(_columns([b]))
+                ids, prev, at = _part_columns(b)
                 state = had.copy() if had is not None else np.zeros(len(ids), np.int32)
                 at, row = trie.walk(ids, at)
                 state[at] = number[row]

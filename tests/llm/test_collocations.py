@@ -97,3 +97,15 @@ def test_rows_of_numbers_are_cut_at_breaks(monkeypatch):
     ids = np.array([1, 2, 0, 3, 4, 5, 6, 7, 8, 0, 9, 1, 0, 2, 2, 0])
     rows = collocations.cut_rows(ids).column(0).to_pylist()
     assert sum(rows, []) == ids.tolist() and all(r[-1] == 0 for r in rows) and len(rows) == 2
+
+
+def test_tasks_of_many_words(spark):
+    """One batch of more words than a task works on at a time: no stretch is lost between the levels."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    passages = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(40)]
+    rows = [("en", ", ".join(rng.choice(passages) for _ in range(40))) for _ in range(2600)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    want = brute(rows, 100)
+    assert sum(len(t.split()) for _, t in rows) > 2 * collocations.PLACES and max(len(r[1].split()) for r in want) == 5
+    assert sorted(map(tuple, collocations.collocations(df).collect())) == want
