@@ -142,8 +142,9 @@ def read_run_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def read_run_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Run logs, e.g. ".../run_*/metrics.csv", as one table of doubles with run_id and step.
 
-    Headers may differ between runs: columns are matched by name, missing ones are null.  run_id is the
-    folder of the file; step is the row's place in it.  Files are read once, as lines; a line's
+    Headers may differ between files: columns are matched by name, missing ones are null.  run_id is the
+    column of that name, so that a file can hold many runs, or else the folder of the file; step is the row's place in
+    the file.  Files are read once, as lines; a line's
     place is its place in its split plus the lines of the splits before, so a file may be read by many
     tasks.  The driver gets each distinct header once, however many runs have it.
     """
@@ -165,7 +166,8 @@ def read_run_logs(spark: SparkSession, pattern: str) -> DataFrame:
         names = [c or f"_c{i}" for i, c in enumerate(next(csv.reader([r["head"].strip("\r")])))]
         parsed = F.from_csv("value", ", ".join(f"`{c}` string" for c in names))
         d = rows.where(F.col("head") == r["head"]).withColumn("v", parsed)
-        d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run_id"), "step", *[F.col(f"v.`{c}`").try_cast("double").alias(c) for c in names])
+        run = F.col("v.run_id") if "run_id" in names else F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+        d = d.select(run.alias("run_id"), "step", *[F.col(f"v.`{c}`").try_cast("double").alias(c) for c in names if c != "run_id"])
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no run logs: {pattern}")

@@ -102,3 +102,17 @@ def test_queries_run_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, check=True)
     assert out.stdout.split()[-2:] == [str(len(registry.QUERIES))] * 2
+
+
+@pytest.mark.parametrize("name", ["row_number_epochs"])
+def test_run_logs_keep_their_order(spark, tmp_path, name):
+    """Events that come in no order from many tasks: rows of a written log stand in the order of their steps."""
+    import os
+
+    from oracle import TABLES
+
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").where("user_id < 40").repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.SQL[name], str(tmp_path))
