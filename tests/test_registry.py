@@ -104,7 +104,7 @@ def test_queries_run_without_the_corpus_operators(tmp_path):
     assert out.stdout.split()[-2:] == [str(len(registry.QUERIES))] * 2
 
 
-@pytest.mark.parametrize("name", ["row_number_epochs"])
+@pytest.mark.parametrize("name", ["row_number_epochs", "run_log_files"])
 def test_run_logs_keep_their_order(spark, tmp_path, name):
     """Events that come in no order from many tasks: rows of a written log stand in the order of their steps."""
     import os
