@@ -123,19 +123,23 @@ _RESULTS = "results array<struct<epoch int, train_loss double, val_loss double,
 _SUMMARY = f"logs_dir string, n_epochs int, metrics struct<{_METRICS}>, meta map<string,string>"
 
 
-def write_run_results(epochs: DataFrame, path: str, logs_dir: Column | None = None, meta: dict[str, str] | None = None) -> None:
+def write_run_results(epochs: DataFrame, path: str, logs_dir: Column | None = None, meta: dict[str, str] | None = None, folders: bool = True) -> None:
     """Results and summary of every run of ``epochs`` (run_id, epoch, train_loss, val_loss, lr) as JSON.
 
     Below results/ and summary/ each run has a folder of its own (run=<id>) with one object; absent values are left out.
+    A folder and two files for each run cost far more than its figures do: without ``folders`` the same objects are
+    lines of as many files as there are tasks, for any number of runs.
     """
+    epochs = stored(epochs, "epochs")
     for name, d in (("results", run_results(epochs)), ("summary", nested_summary(epochs, logs_dir, meta))):
-        d = d.withColumn("run", F.col("run_id").cast("string")).withColumn("run_id", F.col("run"))
-        _replaced(epochs.sparkSession, f"{path}/{name}", d.write.partitionBy("run").json)
+        d = d.withColumn("run_id", F.col("run_id").cast("string"))
+        w = d.withColumn("run", F.col("run_id")).write.partitionBy("run") if folders else d.write
+        _replaced(epochs.sparkSession, f"{path}/{name}", w.json)
 
 
 def read_run_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(run_id, results) and (run_id, logs_dir, n_epochs, metrics, meta) as ``write_run_results`` left them."""
-    read = lambda name, schema: spark.read.schema(f"run_id string, {schema}").json(f"{path}/{name}/run=*")
+    """(run_id, results) and (run_id, logs_dir, n_epochs, metrics, meta) as ``write_run_results`` left them, in either layout."""
+    read = lambda name, schema: spark.read.schema(f"run_id string, {schema}").option("recursiveFileLookup", True).json(f"{path}/{name}")
     return read("results", _RESULTS), read("summary", _SUMMARY)
 
 

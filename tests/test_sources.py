@@ -124,3 +124,17 @@ def test_unreadable_values_are_kept_apart(spark, tmp_path):
     assert sorted(map(tuple, rejects.collect())) == [("date", "bad", 2), ("num_sold", "many", 1)]
     assert rows.count() == 4 and rows.where("date is null").count() == 3 and "__bad" not in rows.columns
     assert "csv" not in rejects._jdf.queryExecution().executedPlan().toString().lower().replace("raw.csv", "")
+
+
+def test_files_of_many_runs(spark, tmp_path):
+    """Logs that name their runs in a column, and results without folders: files do not grow with the runs."""
+    (tmp_path / "one.csv").write_text("run_id,epoch,val_loss\na,0,2.5\nb,0,3.0\na,0,2.0\n")
+    (tmp_path / "two.csv").write_text("run_id,val_loss,lr-x\nc,1.0,0.1\n")
+    log = io.read_run_logs(spark, f"{tmp_path}/*.csv")
+    got = sorted((r["run_id"], r["step"], r["epoch"], r["val_loss"], r["lr-x"]) for r in log.collect())
+    assert got == [("a", 1, 0.0, 2.5, None), ("a", 3, 0.0, 2.0, None), ("b", 2, 0.0, 3.0, None), ("c", 1, None, 1.0, 0.1)]
+    epochs = spark.range(600).selectExpr("id div 2 AS run_id", "CAST(id % 2 AS INT) AS epoch", "1.5D AS train_loss", "CAST(NULL AS DOUBLE) AS val_loss", "0.1D AS lr")
+    io.write_run_results(epochs, str(tmp_path / "out"), meta={"k": "v"}, folders=False)
+    assert len(list((tmp_path / "out").rglob("*.json"))) <= 16
+    results, sums = io.read_run_results(spark, str(tmp_path / "out"))
+    assert {(r["run_id"], len(r["results"])) for r in results.collect()} == {(str(i), 2) for i in range(300)}
