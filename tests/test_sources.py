@@ -138,3 +138,4 @@ def test_files_of_many_runs(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("*.json"))) <= 16
     results, sums = io.read_run_results(spark, str(tmp_path / "out"))
     assert {(r["run_id"], len(r["results"])) for r in results.collect()} == {(str(i), 2) for i in range(300)}
+    assert {(r["run_id"], r["n_epochs"], r["metrics"]["initial_lr"], r["meta"]["k"]) for r in sums.collect()} == {(str(i), 2, 0.1, "v") for i in range(300)}
