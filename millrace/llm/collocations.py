@@ -35,8 +35,8 @@ WORDS, BITS, CANDIDATES = 500_000, 27, 500_000
 #: Entries that a task gathers before it sends them, places that it works on at a time, and words of a row of
 #: numbered text (more without a break).
 HELD, PLACES, ROW = 2_000_000, 1 << 18, 512
-#: Phrases whose counts travel together.
-COUNTS = 1024
+#: Phrases whose counts travel together, and groups of buckets whose keys do (as a power of two).
+COUNTS, GROUPS = 1024, 10
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -248,7 +248,9 @@ def _key(prev: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn: int) -> DataFrame:
-    """(bucket, lo, hi): buckets whose phrases occur ``support`` times together, and their least and largest key."""
+    """(bucket, lo, hi): buckets whose phrases occur ``support`` times together, and their least and largest key.
+
+    Keys travel as arrays, one for each group of neighbouring buckets of what a task gathered; buckets follow from keys."""
 
     def count(batches):
         held, size = [], 0
@@ -264,14 +266,48 @@ def heavy_buckets(texts: DataFrame, support: int, bits: int, rounds: int, turn:
         if size:
             yield out(held)
 
+    top = min(GROUPS, bits)
+
     def out(held):
         key, n = np.unique(np.concatenate(held), return_counts=True)
-        bucket = (mix64(key) >> np.uint64(64 - bits)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["bucket", "key", "n"])
+        group = (mix64(key) >> np.uint64(64 - top)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        key, n, group = key[order].view(np.int64), n[order].astype(np.int32), group[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        offsets = pa.array(np.append(first, len(group)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (key, n)]
+        return pa.RecordBatch.from_arrays([pa.array(group[first]), *lists], ["group", "key", "n"])
+
+    def heavy(keys, counts):
+        key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        bucket = (mix64(key.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, n, bucket = key[order], n[order], bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        use = np.add.reduceat(n, first) >= support
+        lo, hi = np.minimum.reduceat(key, first)[use], np.maximum.reduceat(key, first)[use]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first][use]), pa.array(lo), pa.array(hi)], ["bucket", "lo", "hi"])
 
-    counts = texts.mapInArrow(count, "bucket int, key long, n int").groupBy("bucket")
-    counts = counts.agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    return materialize(counts.where(F.col("n") >= support).select("bucket", "lo", "hi"), "heavy")
+    def added(batches):
+        keys, counts, now = [], [], None
+        for b in batches:
+            group = b.column(0).to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+            for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if lo < hi and keys and group[lo] != now:
+                    yield heavy(keys, counts)
+                    keys, counts = [], []
+                if lo < hi:
+                    now = group[lo]
+                    part = b.slice(lo, hi - lo)
+                    # Copies, as a batch's memory is not to be held.
+                    keys.append(part.column(1).flatten().to_numpy().copy())
+                    counts.append(part.column(2).flatten().to_numpy().copy())
+        if keys:
+            yield heavy(keys, counts)
+
+    counts = texts.mapInArrow(count, "group int, key array<long>, n array<int>").repartition("group").sortWithinPartitions("group")
+    return materialize(counts.mapInArrow(added, "bucket int, lo long, hi long"), "heavy")
 
 
 def bitmap_of(buckets: DataFrame, bits: int) -> np.ndarray:
